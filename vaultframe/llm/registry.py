@@ -1,7 +1,7 @@
 """Queries of this subpackage and their SQL."""
 
-from vaultframe.llm import decontaminate, near_text, near_vectors, preferences, quality, secrets
+from vaultframe.llm import decontaminate, near_text, near_vectors, packing, preferences, quality, secrets
 
-MODULES = (secrets, near_text, near_vectors, decontaminate, preferences, quality)
+MODULES = (secrets, near_text, near_vectors, packing, decontaminate, preferences, quality)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in getattr(m, "SQL", {}).items()}
