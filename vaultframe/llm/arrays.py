@@ -59,7 +59,7 @@ class Rolling:
     """Hashes of any byte ranges of one array, from running sums modulo 2**64."""
 
     def __init__(self, data: np.ndarray):
-        size = 1 << max(12, int(len(data)).bit_length())
+        size = 1 << max(21, (max(1, len(data)) - 1).bit_length())
         self.up, self.down = _powers(size)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=self.sums[1:])

@@ -32,9 +32,20 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def row_key(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Adds __h, a hash of the text; (id, __h) names a document even if ids repeat or are null."""
-    return df.withColumn("__h", F.xxhash64(text_of(text_column)))
+def row_key(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds __h, a hash of the text; (doc_id, __h) names a document even if ids repeat or are null."""
+    return df.withColumn("__h", F.xxhash64(text_of(text)))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with columns c0, c1, ..., so that no name clashes with ours, and the names of doc_id and text there."""
+    names = docs.columns
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]), f"c{names.index('doc_id')}", f"c{names.index('text')}"
+
+
+def named(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, under their names, of a frame made from numbered(docs)."""
+    return df.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(docs.columns)])
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

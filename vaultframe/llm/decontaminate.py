@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vaultframe.llm.common import read, row_key, settle, small, text_of
+from vaultframe.llm.common import named, numbered, read, row_key, settle, small, text_of
 
 #: Fixed separators of words: whatever is neither letter nor digit, in either case.
 SEPARATOR = r"[^\p{L}\p{N}]+"
@@ -91,8 +91,10 @@ def _none(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the documents that hold an item; columns and repeated rows stay."""
     hits = settle(contained(docs, items).select(F.col("doc_id").alias("__id"), F.col("__h").alias("__k")).distinct())
-    keyed = row_key(docs)
-    return keyed.join(small(hits), keyed["doc_id"].eqNullSafe(hits["__id"]) & (keyed["__h"] == hits["__k"]), "left_anti").drop("__h")
+    plain, doc_id, text = numbered(docs)
+    keyed = row_key(plain, text)
+    kept = keyed.join(small(hits), keyed[doc_id].eqNullSafe(hits["__id"]) & (keyed["__h"] == hits["__k"]), "left_anti")
+    return named(kept, docs)
 
 
 def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

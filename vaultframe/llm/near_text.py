@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultframe.llm import arrays as A
-from vaultframe.llm.common import components, read, row_key, settle, small
+from vaultframe.llm.common import components, named, numbered, read, row_key, settle, small
 
 WORDS, THRESHOLD = 5, 0.8
 #: Bands and coordinates in a band: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**5)**26 > 0.9999.
@@ -219,12 +219,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = settle(near_duplicates(docs))
     gone = settle(found.where("not kept").select(F.col("doc_id").alias("__id"), F.col("__h").alias("__k")).distinct())
     twice = settle(found.where("kept").groupBy("doc_id", "__h").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("__h").alias("__k")))
-    keyed = row_key(docs)
-    same = lambda t: keyed["doc_id"].eqNullSafe(t["__id"]) & (keyed["__h"] == t["__k"])
+    plain, doc_id, text = numbered(docs)
+    keyed = row_key(plain, text)
+    same = lambda t: keyed[doc_id].eqNullSafe(t["__id"]) & (keyed["__h"] == t["__k"])
     keyed = keyed.join(small(gone), same(gone), "left_anti")
     once = keyed.join(small(twice), same(twice), "left_anti")
-    many = keyed.join(small(twice), same(twice), "left_semi").dropDuplicates(["doc_id", "__h"])
-    return once.unionByName(many).drop("__h")
+    many = keyed.join(small(twice), same(twice), "left_semi").dropDuplicates([doc_id, "__h"])
+    return named(once.unionByName(many), docs)
 
 
 def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultframe.llm import arrays as A
-from vaultframe.llm.common import read, text_of
+from vaultframe.llm.common import named, numbered, read, text_of
 
 #: Bytes of a chunk, bytes from one chunk to the next; bytes between two places of a filter, which spans two such steps.
 CHUNK, STRIDE, STEP = 512, 448, 4
@@ -145,13 +145,13 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network
     return net.fit(rows["text"].tolist(), y)
 
 
-def scored(docs: DataFrame, net: Network) -> DataFrame:
-    """docs with score (0 to 1) as a last column; null and empty texts have a score like any other."""
+def scored(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
+    """docs with __score (0 to 1) as a last column; null and empty texts have a score like any other."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def per_batch(batches):
         for batch in batches:
-            data, offsets = A.column_bytes(batch.column("text"))
+            data, offsets = A.column_bytes(batch.column(text))
             yield pa.record_batch([*batch.columns, pa.array(net.scores(data, offsets))], [*batch.schema.names, "__score"])
 
     return docs.mapInArrow(per_batch, f"{kinds}, `__score` double")
@@ -169,7 +169,9 @@ def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
 
 def good_only(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """docs without those that score below the cut; columns and repeated rows stay."""
-    return scored(docs, trained(docs, labels)).where(F.col("__score") >= cut).drop("__score")
+    net = trained(docs, labels)
+    plain, _, text = numbered(docs)
+    return named(scored(plain, net, text).where(F.col("__score") >= cut), docs)
 
 
 QUERIES = {"op10_quality_classifier": op10_quality_classifier}

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vaultframe.llm.common import row_key, text_of
+from vaultframe.llm.common import named, numbered, row_key, text_of
 
 #: Fixed patterns: (kind, pattern, group that is tested, least length of that group).
 STRONG = (
@@ -134,26 +134,28 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     Rows keep their other columns; a null text stays null.
     """
-    columns = docs.columns
-    keyed = row_key(docs)
+    plain, doc_id, text = numbered(docs)
+    keyed = row_key(plain, text)
     spans = scan_secrets(docs, scope).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("__h").alias("__k"), "spans")
     spans = spans.groupBy("__id", "__k").agg(F.first("spans").alias("__spans"))
-    joined = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["__id"]) & (keyed["__h"] == spans["__k"]), "left")
+    joined = keyed.join(spans, keyed[doc_id].eqNullSafe(spans["__id"]) & (keyed["__h"] == spans["__k"]), "left")
     pieces = F.transform(
         "__spans",
         lambda c: F.when(
             c["start"] >= c["clear"],
             F.concat(
-                F.col("text").substr((c["clear"] + 1).cast("int"), (c["start"] - c["clear"]).cast("int")), F.lit("<SECRET:"), c["kind"], F.lit(">")
+                F.col(text).substr((c["clear"] + 1).cast("int"), (c["start"] - c["clear"]).cast("int")), F.lit("<SECRET:"), c["kind"], F.lit(">")
             ),
         ).otherwise(F.lit("")),
     )
     last = F.array_max(F.transform("__spans", lambda c: c["end"])).cast("int")
-    clean = F.concat(F.array_join(pieces, ""), F.col("text").substr(last + 1, F.length("text")))
-    out = joined.withColumn("text", F.when(F.col("__spans").isNotNull(), clean).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    clean = F.concat(F.array_join(pieces, ""), F.col(text).substr(last + 1, F.length(text)))
+    found = F.col("__spans").isNotNull()
+    out = joined.withColumn("__clean", F.when(found, clean))
+    if "n_chars" in docs.columns:
+        n = f"c{docs.columns.index('n_chars')}"
+        out = out.withColumn(n, F.when(found, F.length("__clean").cast("long")).otherwise(F.col(n)))
+    return named(out.withColumn(text, F.coalesce("__clean", text)), docs)
 
 
 def _sql() -> str:
