@@ -1 +1 @@
-
+"""Operators over archive relations."""
