@@ -7,8 +7,9 @@ coordinates, and the one of least rank is kept in each: coordinates of two texts
 their weighted Jaccard similarity, and a signature costs time in the number of shingles plus darts.
 
 Bands of coordinates are bucket keys. Equal texts are one row before any of this. In a bucket, members are
-compared with a leader, and what the leader did not connect is compared pair by pair across the components found
-so far, so a bucket of many near copies costs as many pairs as it has members, and still no link is lost.
+compared with a leader; what leaders did not connect is compared across the components found so far, as far as a
+prefix filter leaves pairs. So a bucket of many near copies costs about as many pairs as it has members, and still
+no link is lost.
 """
 
 from __future__ import annotations
@@ -171,33 +172,7 @@ def near_duplicates(
     texts = keyed.join(w, (F.col("d") == F.col("wd")) & (F.col("__h") == F.col("wh")), "left_semi")
     sets = settle(shingle_sets(texts, size).groupBy("node").agg(F.first("own").alias("own")))
 
-    found, tried, comps = None, None, None
-    for turn in range(leaders + 1):
-        now = member if comps is None else _with_component(member, comps)
-        if turn == 0:
-            pairs = now.select(F.col("node").alias("u"), F.col("least").alias("v"))
-        elif turn < leaders:
-            lead = now.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("v"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
-            pairs = now.join(lead, "key").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v"))
-        else:  # all that is left: pairs across components in one bucket, of sizes that can reach the threshold
-            mixed = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-            left = now.join(mixed, "key").select("key", "node", "c", "n")
-            right = left.select("key", F.col("node").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"))
-            fit = F.least("n", "nv") >= F.lit(threshold - 1e-9) * F.greatest("n", "nv")
-            pairs = left.join(right, "key").where((F.col("node") > F.col("v")) & (F.col("c") != F.col("cv")) & fit).select(F.col("node").alias("u"), "v")
-        pairs = pairs.where("u <> v").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = settle(pairs)
-        if pairs.isEmpty():
-            if turn == leaders or turn == 0:
-                break
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = settle(_similar(pairs, sets, threshold))
-        found = new if found is None else found.unionByName(new)
-        if comps is None or not new.isEmpty():
-            comps = settle(components(found))
+    comps = _linked(member, sets, threshold, leaders)
     linked = one.select("c1", "c2", "node")
     if comps is not None:
         linked = linked.join(comps.select(F.col("id").alias("node"), "component"), "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("root"))
@@ -209,9 +184,71 @@ def near_duplicates(
     return out.select("doc_id", "__h", F.nullif(root["d"], F.lit(LAST_ID)).alias("class_id"), (root == own).alias("kept"))
 
 
-def _with_component(member: DataFrame, comps: DataFrame) -> DataFrame:
-    named = comps.select(F.col("id").alias("node"), "component")
-    return member.join(named, "node", "left").select("key", "node", "n", "least", F.coalesce("component", "node").alias("c"))
+def _linked(member: DataFrame, sets: DataFrame, threshold: float, leaders: int) -> DataFrame | None:
+    """Components (id, component) of similar members of buckets (key, node, n, least); None without links.
+
+    Members are compared with one leader of their bucket at a time: the least, then in turn the one with most links so
+    far and one by chance. Only buckets whose members are still in several components take part again. Then the
+    pairs across components that a prefix filter leaves are compared.
+    """
+    found = settle(_similar(settle(member.select(F.col("node").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()), sets, threshold))
+    if found.isEmpty():
+        comps = None
+    else:
+        comps = settle(components(found))
+    left, idle = member, 0
+    for turn in range(1, leaders + 1):
+        left = settle(_mixed(left, comps))
+        sizes = left.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
+        members, across = sizes.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0))).first()
+        if not members or across <= members + 10_000 or idle:
+            break
+        ranked = left.withColumn("rank", F.xxhash64("node", F.lit(turn)))
+        if turn % 2 and not found.isEmpty():
+            degree = found.select(F.col("u").alias("node")).unionByName(found.select(F.col("v").alias("node"))).groupBy("node").agg((-F.count("*")).alias("d"))
+            ranked = left.join(degree, "node", "left").withColumn("rank", F.coalesce("d", F.lit(0)))
+        lead = ranked.groupBy("key").agg(F.min_by(F.struct("node", "c"), F.struct("rank", "node")).alias("lead"))
+        pairs = left.join(lead, "key").where(F.col("c") != F.col("lead.c")).select(F.greatest("node", F.col("lead.node")).alias("u"), F.least("node", F.col("lead.node")).alias("v"))
+        new = settle(_similar(settle(pairs.distinct()), sets, threshold))
+        idle = idle + 1 if new.isEmpty() else 0
+        if not idle:
+            found = settle(found.unionByName(new))
+            comps = settle(components(found))
+    left = settle(_mixed(left, comps))
+    pairs = _prefix_pairs(left, sets, threshold)
+    new = settle(_similar(settle(pairs), sets, threshold))
+    return comps if new.isEmpty() else settle(components(found.unionByName(new)))
+
+
+def _prefix_pairs(left: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (u, v) across components that can be similar: all of them that share a bucket, and few others.
+
+    Sets of sizes m and n that reach the threshold share at least a = threshold / (1 + threshold) * (m + n) shingles, so
+    they share one of the n - a + 1 rarest of each. With m the least size that a member's buckets offer, a heavily
+    edited copy has only its own shingles in that prefix, and meets nothing.
+    """
+    part = threshold / (1 + threshold)
+    sizes = left.groupBy("key").agg(F.collect_set("n").alias("sizes"))
+    least = F.array_min(F.filter("sizes", lambda m: m >= F.lit(threshold - 1e-9) * F.col("n")))
+    nodes = left.join(sizes, "key").groupBy("node", "n", "c").agg(F.min(least).alias("m"))
+    each = settle(sets.join(nodes, "node").select("node", "n", "c", "m", F.explode("own").alias("s")))
+    several = each.groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
+    rare = each.join(several, "s").groupBy("node", "n", "c", "m").agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("rare"))
+    length = F.col("n") - F.ceil(F.lit(part) * (F.col("n") + F.col("m")) - 1e-9) + 1 - (F.col("n") - F.size("rare"))
+    post = settle(rare.where(length > 0).select("node", "n", "c", F.explode(F.slice("rare", 1, length.cast("int"))).alias("r")).select("node", "n", "c", "r.s"))
+    other = post.select("s", F.col("node").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"))
+    fit = F.least("n", "nv") >= F.lit(threshold - 1e-9) * F.greatest("n", "nv")
+    return post.join(other, "s").where((F.col("node") > F.col("v")) & (F.col("c") != F.col("cv")) & fit).select(F.col("node").alias("u"), "v").distinct()
+
+
+def _mixed(member: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Members with their component c, of the buckets that hold several components."""
+    member = member.select("key", "node", "n")
+    if comps is None:
+        return member.withColumn("c", F.col("node"))
+    now = member.join(comps.select(F.col("id").alias("node"), "component"), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
+    several = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    return now.join(several, "key", "left_semi")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
