@@ -12,7 +12,10 @@ from vaultframe.sources.adapters import FILE
 
 
 def directory_entries(spark: SparkSession, root: str, image: str = "1", glob: str = "*") -> DataFrame:
-    """Files below root (any file system that Spark reads) as dentry rows; bytes are hashed where they are read."""
+    """Files below root (any file system that Spark reads) as dentry rows; bytes are hashed where they are read.
+
+    Files without bytes hold no content and are left out, as Spark's file readers do.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     path = F.regexp_replace("path", "^[a-z]+:/+", "/")
     below = F.concat(F.lit("/"), F.substring_index(path, root.rstrip("/") + "/", -1))
