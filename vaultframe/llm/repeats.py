@@ -262,7 +262,7 @@ def joined_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def with_spans(docs: DataFrame, kind: Kind, sort: Callable, cut: Callable, schema: str) -> DataFrame:
-    """A row per row of docs from cut(text bytes, starts, ends): doc_id and what schema names."""
+    """A row per row of docs: doc_id and what cut(text bytes, starts, ends) gives: units, units removed, runs removed, what is left."""
     marks, rows = repeated_spans(docs, kind, sort)
     texts = rows.select("doc_id", "d", "h", text_of().alias("text"))
     ids = small(marks.select(F.col("d").alias("kd"), F.col("h").alias("kh")))
@@ -270,6 +270,7 @@ def with_spans(docs: DataFrame, kind: Kind, sort: Callable, cut: Callable, schem
     cutup = texts.join(ids, same(texts, ids), "left_semi").join(marks, ["d", "h"])
     kinds = docs.schema["doc_id"].dataType.simpleString()
     names = [f.split()[0] for f in schema.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string() if kind.words else pa.binary()]
 
     def per_batch(batches):
         for batch in batches:
@@ -278,7 +279,7 @@ def with_spans(docs: DataFrame, kind: Kind, sort: Callable, cut: Callable, schem
             ends, start, end = lists.offsets.to_numpy(), *(lists.values.field(c).to_numpy() for c in ("start", "end"))
             for a, b in A.slices(offsets, 1 << 23):
                 out = [cut(data[offsets[i] : offsets[i + 1]], start[ends[i] : ends[i + 1]], end[ends[i] : ends[i + 1]]) for i in range(a, b)]
-                columns = [batch.column("doc_id").slice(a, b - a), *[pa.array(c) for c in zip(*out, strict=True)]]
+                columns = [batch.column("doc_id").slice(a, b - a), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]]
                 yield pa.record_batch(columns, ["doc_id", *names])
 
     form = f"doc_id {kinds}, {schema}"
