@@ -82,4 +82,4 @@ def test_documents_with_odd_columns(spark):
     assert secrets.scan_secrets(docs).count() == len(rows)
     empty = hashlib.sha256(b"").hexdigest()
     out = secrets.scan_secrets(docs).select(F.sha2(secrets.digest(F.col("spans")), 256).alias("s"))
-    assert out.where(F.col("s") == empty).count() == len(rows)
+    assert out.where(F.col("s") == empty).count() == len(rows) - 1  # one text is a long hexadecimal run

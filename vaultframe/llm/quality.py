@@ -20,7 +20,7 @@ CHUNK, STRIDE, STEP = 512, 448, 4
 WIDTH, FILTERS = 8, 32
 #: Bounds of the training sample: documents, and bytes of a document. Scoring has no such bounds.
 SAMPLE, SAMPLE_BYTES = 4000, 16_384
-EPOCHS, BATCH, RATE = 14, 64, 4e-3
+EPOCHS, MOST_EPOCHS, BATCH, RATE = 14, 100, 64, 4e-3
 #: A document is predicted good from this score.
 CUT = 0.7
 PAD = 256
@@ -97,9 +97,10 @@ class Network:
         de[PAD] = 0
         return {"e": de, "w": np.einsum("cfk,cf->kf", window, dr), "b": dr.sum(axis=0), "v": f.T @ dz, "c": dz.sum(keepdims=True)}
 
-    def fit(self, texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Network:
-        """Adam on the logistic loss, in a fixed random order."""
+    def fit(self, texts: list[str], labels: np.ndarray, epochs: int | None = None) -> Network:
+        """Adam on the logistic loss, in a fixed random order; a small sample is passed over more often."""
         self.training = True
+        epochs = epochs or max(EPOCHS, min(MOST_EPOCHS, EPOCHS * SAMPLE // max(1, len(texts))))
         order = np.random.default_rng(11)
         raw = [np.frombuffer(t.encode()[:SAMPLE_BYTES], np.uint8) for t in texts]
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
