@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultframe.errors import ArchiveError
-from vaultframe.functions import canonical_path, within
+from vaultframe.functions import within
 
 
 def _plain(path: str) -> str:
@@ -116,4 +116,3 @@ def with_info(archive: DataFrame, **changes) -> DataFrame:
     return archive.withColumns({k: F.lit(v).cast(archive.schema[k].dataType) for k, v in changes.items()})
 
 
-__all__ = ["added", "canonical_path", "deleted", "moved", "renamed", "updated", "with_info", "with_property"]
