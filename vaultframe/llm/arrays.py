@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer text is worked on by itself.
-SLICE = 1 << 21
+SLICE = 1 << 20
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -29,7 +29,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column laid end to end, and the n + 1 offsets; null is empty."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    column = (pc.fill_null(column, "") if column.null_count else column).cast(pa.large_string())
     _, offsets, data = column.buffers()
     if offsets is None or len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
@@ -59,7 +59,7 @@ class Rolling:
     """Hashes of any byte ranges of one array, from running sums modulo 2**64."""
 
     def __init__(self, data: np.ndarray):
-        size = 1 << max(21, (max(1, len(data)) - 1).bit_length())
+        size = 1 << max(20, (max(1, len(data)) - 1).bit_length())
         self.up, self.down = _powers(size)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=self.sums[1:])

@@ -59,7 +59,7 @@ def without_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GR
     rows are each other's copies, and so are equal texts; documents shorter than a window keep all. Other columns
     are ignored.
     """
-    kind = Kind(window, gram, False, False) if group is None else Kind(window, gram, False, False, group)
+    kind = Kind(window, gram, False, False, group or 0)
     return with_spans(docs, kind, refined_order, lambda t, s, e: _cut(window, t, s, e), "n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 

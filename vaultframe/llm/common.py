@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,12 +15,17 @@ BROADCAST_ROWS = 200_000
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with checkpoint() in the folder that the cluster names in spark.checkpoint.dir.
 
-    A folder of our own is set only where the session names none (tests on one machine).
+    A folder of our own is set only where the session names none (tests on one machine). Shuffle files that only
+    served what was cut are given up at once: Spark's cleaner removes those that garbage collection finds unused.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

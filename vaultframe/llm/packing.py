@@ -25,12 +25,12 @@ from vaultframe.llm.common import read, row_key, text_of
 
 LENGTH, END = 2048, 1
 #: Dimensions of hashed vectors; of the curve; bits of each of these.
-HASHED, DIMENSIONS, BITS = 256, 3, 10
+HASHED, DIMENSIONS, BITS = 64, 3, 10
 #: Fixed pattern that splits a text before merges (byte-level BPE).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space beyond ASCII, in UTF-8: next to it a space is no safe place to cut.
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-_CACHE = 300_000
+_CACHE = 100_000
 
 
 def tokenizer_path() -> str:
@@ -60,12 +60,15 @@ class Encoder:
         self.bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.marks = re.compile(b"|".join(re.escape(t.encode()) for t in self.special)) if self.special else None
         self.kind = np.uint16 if self.bpe.n_vocab <= 1 << 16 else np.uint32
-        self.cache: dict[bytes, np.ndarray] = {}
+        self.cache: dict[bytes, bytes] = {}
 
-    def _one(self, piece: bytes) -> np.ndarray:
+    def _one(self, piece: bytes) -> bytes:
+        """The packed ids of a piece."""
         ids = self.cache.get(piece)
         if ids is None:
-            ids = np.array(self.bpe.encode(piece.decode(), allowed_special="all") if b"<" in piece else self.bpe.encode_ordinary(piece.decode()), self.kind)
+            text = piece.decode()
+            found = self.bpe.encode(text, allowed_special="all") if b"<" in piece else self.bpe.encode_ordinary(text)
+            ids = np.array(found, self.kind).tobytes()
             if len(piece) < 64:
                 if len(self.cache) >= _CACHE:
                     self.cache.clear()
@@ -90,12 +93,12 @@ class Encoder:
         end = np.append(start[1:], len(data))
         _, first, which = np.unique(A.Rolling(data).of(start, end), return_index=True, return_inverse=True)
         pieces = [self._one(raw[a:b]) for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        size = np.array([len(p) for p in pieces])
+        size = np.array([len(p) for p in pieces]) // np.dtype(self.kind).itemsize
         begin = np.cumsum(size) - size
         many = size[which]
         total = np.cumsum(many)
         at = np.repeat(begin[which] - (total - many), many) + np.arange(total[-1])
-        ids = np.concatenate(pieces)[at]
+        ids = np.frombuffer(b"".join(pieces), self.kind)[at]
         row = np.searchsorted(offsets, start, "right") - 1
         return ids, np.bincount(row, many, rows).astype(np.int64)
 
@@ -162,6 +165,7 @@ def tokens(docs: DataFrame, path: str, end: int) -> DataFrame:
                     [batch.column("doc_id").slice(a, b - a), batch.column("__h").slice(a, b - a), packed, pa.array(size), pa.array(keys)],
                     ["doc_id", "__h", "ids", "n", "at"],
                 )
+        encoder.cache.clear()  # workers outlive their tasks
 
     return row_key(docs.select("doc_id", text_of().alias("text"))).mapInArrow(per_batch, f"doc_id {kind}, __h bigint, ids binary, n bigint, at bigint")
 

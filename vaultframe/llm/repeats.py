@@ -25,8 +25,8 @@ from vaultframe.llm import arrays as A
 from vaultframe.llm.common import settle, small, text_of
 
 LAST_ID = (1 << 63) - 1
-#: Occurrences in a group of grams; a gram with more of them is hot.
-GROUP = 40_000
+#: Bytes around the occurrences in a group of grams; a gram with more of them is hot.
+GROUP_BYTES = 28_000_000
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,13 @@ class Kind:
     gram: int
     words: bool
     first: bool
-    group: int = GROUP
+    group: int = 0  # occurrences in a group; 0: as GROUP_BYTES allows
+
+    def __post_init__(self):
+        if not 0 < self.gram <= self.size < 1 << 15:
+            raise ValueError("a gram is at most a window, and a window less than 32768 units")
+        if not self.group:
+            object.__setattr__(self, "group", GROUP_BYTES // (self.item * (2 * self.size - self.gram)))
 
     @property
     def item(self) -> int:
@@ -93,7 +99,10 @@ def anchors(code: np.ndarray, offsets: np.ndarray, kind: Kind) -> tuple[np.ndarr
 
 
 def _scan(texts: DataFrame, kind: Kind) -> DataFrame:
-    """g, d, h and places of every anchor."""
+    """g, d, h and p of every anchor: its place, and how far before it its windows begin at most and at least.
+
+    The three numbers are one (32, 16 and 15 bits), since these rows are many.
+    """
 
     def per_batch(batches):
         for batch in batches:
@@ -103,12 +112,10 @@ def _scan(texts: DataFrame, kind: Kind) -> DataFrame:
                 g, row, place, s1, s2 = anchors(*kind.units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), kind)
                 for n in range(0, len(g), 50_000):
                     part = slice(n, n + 50_000)
-                    yield pa.record_batch(
-                        [pa.array(A.signed(g[part])), pa.array(d[a:b][row[part]]), pa.array(h[a:b][row[part]]), *[pa.array(x[part].astype(np.int32)) for x in (place, s1, s2)]],
-                        ["g", "d", "h", "place", "s1", "s2"],
-                    )
+                    p = place[part] << 31 | (place - s1)[part] << 15 | (place - s2)[part]
+                    yield pa.record_batch([pa.array(A.signed(g[part])), pa.array(d[a:b][row[part]]), pa.array(h[a:b][row[part]]), pa.array(p)], ["g", "d", "h", "p"])
 
-    return texts.mapInArrow(per_batch, "g bigint, d bigint, h bigint, place int, s1 int, s2 int")
+    return texts.mapInArrow(per_batch, "g bigint, d bigint, h bigint, p bigint")
 
 
 def _surroundings(found: DataFrame, kind: Kind) -> DataFrame:
@@ -122,19 +129,22 @@ def _surroundings(found: DataFrame, kind: Kind) -> DataFrame:
             lists = batch.column("hits")
             ends = lists.offsets.to_numpy()
             flat = lists.values
-            cols = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("g", "hot", "place", "s1", "s2")}
+            g, p = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("g", "p"))
+            hot, p = p < 0, np.where(p < 0, -p - 1, p)  # hot grams have their numbers negated
+            cols = {"g": g, "hot": hot, "place": p >> 31, "s1": (p >> 31) - (p >> 15 & 0xFFFF), "s2": (p >> 31) - (p & 0x7FFF)}
             for a, b in A.slices(offsets):
                 code, at = kind.units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 own = {c: v[ends[a] : ends[b]] for c, v in cols.items()}
                 row = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
-                hot = own["hot"].astype(bool)
+                hot = own["hot"]
                 for n in range(0, len(row), 20_000):
                     k = np.arange(n, min(n + 20_000, len(row)))
                     base = at[row[k]] + own["place"][k]
+                    # Units beyond the anchor's windows are left out: as zeros they cost little.
                     r = base[:, None] + np.arange(right)
-                    r = np.where(r < at[row[k] + 1][:, None], code[np.minimum(r, len(code) - 1)], 0)
+                    r = np.where(r < (at[row[k]] + own["s2"][k] + kind.size)[:, None], code[np.minimum(r, len(code) - 1)], 0)
                     l = base[:, None] - 1 - np.arange(left)  # noqa: E741
-                    l = np.where(l >= at[row[k]][:, None], code[np.maximum(l, 0)], 0)  # noqa: E741
+                    l = np.where(l >= (at[row[k]] + own["s1"][k])[:, None], code[np.maximum(l, 0)], 0)  # noqa: E741
                     around = np.ascontiguousarray(np.concatenate([r, l], axis=1).astype(code.dtype))
                     many = np.where(hot[k], own["s2"][k] - own["s1"][k] + 1, 0)
                     width = np.where(hot[k], 0, around.shape[1] * around.itemsize)
@@ -143,7 +153,7 @@ def _surroundings(found: DataFrame, kind: Kind) -> DataFrame:
                     whole = kind.hashes(code, starts, kind.size) if many.any() else np.zeros(0, np.uint64)
                     yield pa.record_batch(
                         [
-                            pa.array(own["g"][k]), pa.array(d[a:b][row[k]]), pa.array(h[a:b][row[k]]), *[pa.array(own[c][k]) for c in ("place", "s1", "s2")],
+                            pa.array(own["g"][k]), pa.array(d[a:b][row[k]]), pa.array(h[a:b][row[k]]), *[pa.array(own[c][k].astype(np.int32)) for c in ("place", "s1", "s2")],
                             pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(width)]).astype(np.int32)), pa.py_buffer(packed)]),
                             pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(A.signed(whole))),
                         ],
@@ -230,25 +240,31 @@ def repeated_spans(docs: DataFrame, kind: Kind, sort: Callable) -> tuple[DataFra
 
     places = _scan(texts, kind)
     several = settle(places.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"))
-    hits = settle(places.join(several.select("g", (F.col("n") > kind.group).alias("hot")), "g"))
-    wanted = small(settle(hits.select(F.col("d").alias("kd"), F.col("h").alias("kh")).distinct()))
-    near = texts.join(wanted, same(texts, wanted), "left_semi")
-    own = hits.groupBy("d", "h").agg(F.collect_list(F.struct("g", "hot", "place", "s1", "s2")).alias("hits"))
-    around = _surroundings(near.join(own, ["d", "h"]).select("d", "h", "text", "hits"), kind)
-    number, hot = hits.agg(F.count("*"), F.coalesce(F.max("hot"), F.lit(False))).first()
+    number, hot = several.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n") > kind.group, F.lit(False))).first()
+    marked = F.when(F.col("n") > kind.group, -F.col("p") - 1).otherwise(F.col("p"))
+    hits = settle(places.join(several, "g").select("g", "d", "h", marked.alias("p")))
+
+    def around(part: DataFrame) -> DataFrame:
+        """The surroundings of some hits; only texts that have any are shuffled."""
+        wanted = small(settle(part.select(F.col("d").alias("kd"), F.col("h").alias("kh")).distinct()))
+        near = texts.join(wanted, same(texts, wanted), "left_semi")
+        own = part.groupBy("d", "h").agg(F.collect_list(F.struct("g", "p")).alias("hits"))
+        return _surroundings(near.join(own, ["d", "h"]).select("d", "h", "text", "hits"), kind)
+
     parts = max(1, ceil(number / kind.group))
-    grouped = around.where(F.length("around") > 0).withColumn("part", F.pmod(F.xxhash64("g", F.lit(3)), F.lit(parts)))
+    grouped = around(hits.where("p >= 0")).withColumn("part", F.pmod(F.xxhash64("g", F.lit(3)), F.lit(parts)))
     spans = grouped.repartition(parts, "part").groupBy("part").applyInArrow(
         lambda table: _compared(table, kind, sort), "d bigint, h bigint, start bigint, end bigint"
     )
     if hot:
-        whole = around.where(F.size("whole") > 0).select("d", "h", "s1", F.posexplode("whole").alias("i", "w"))
+        whole = around(hits.where("p < 0")).select("d", "h", "s1", F.posexplode("whole").alias("i", "w"))
         whole = settle(whole.select("d", "h", (F.col("s1") + F.col("i")).cast("long").alias("start"), "w"))
         least = whole.groupBy("w").agg(F.min(F.struct("d", "h", "start")).alias("least"), F.count("*").alias("n")).where("n > 1")
         again = whole.join(least, "w")
         again = again.where(F.struct("d", "h", "start") != F.col("least")) if kind.first else again
         spans = spans.unionByName(again.select("d", "h", "start", (F.col("start") + kind.size).alias("end")))
     all_ = copies.select("d", "h", F.lit(0).cast("long").alias("start"), F.lit(1 << 40).alias("end"))
+    del places, hits, several
     marks = spans.unionByName(all_).groupBy("d", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     return settle(marks), rows
 

@@ -30,7 +30,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     Null and empty texts have no words. Equal rows are one document and get the same result; a null doc_id comes
     last; of rows with one doc_id and other texts the smaller hash of the text comes first. Other columns are ignored.
     """
-    kind = Kind(window, prefix, True, True) if group is None else Kind(window, prefix, True, True, group)
+    kind = Kind(window, prefix, True, True, group or 0)
     return with_spans(docs, kind, suffix_order, lambda t, s, e: _cut(window, t, s, e), "n_words bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept string")
 
 
