@@ -260,7 +260,8 @@ def repeated_spans(docs: DataFrame, kind: Kind, sort: Callable) -> tuple[DataFra
         whole = around(hits.where("p < 0")).select("d", "h", "s1", F.posexplode("whole").alias("i", "w"))
         whole = settle(whole.select("d", "h", (F.col("s1") + F.col("i")).cast("long").alias("start"), "w"))
         least = whole.groupBy("w").agg(F.min(F.struct("d", "h", "start")).alias("least"), F.count("*").alias("n")).where("n > 1")
-        again = whole.join(least, "w")
+        # Settled, so that occurrences of a frequent window are not dealt by it: few windows are sent, many are a join that Spark can split.
+        again = whole.join(small(settle(least)), "w")
         again = again.where(F.struct("d", "h", "start") != F.col("least")) if kind.first else again
         spans = spans.unionByName(again.select("d", "h", "start", (F.col("start") + kind.size).alias("end")))
     all_ = copies.select("d", "h", F.lit(0).cast("long").alias("start"), F.lit(1 << 40).alias("end"))
