@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultframe.llm import arrays as A
-from vaultframe.llm.common import read, row_key, text_of
+from vaultframe.llm.common import read, row_key, settle, text_of
 
 LENGTH, END = 2048, 1
 #: Dimensions of hashed vectors; of the curve; bits of each of these.
@@ -224,7 +224,8 @@ def pack(docs: DataFrame, length: int = LENGTH, end: int = END, path: str | None
         if out:
             yield table(out)
 
-    ordered = tokens(docs, path, end).repartitionByRange("at", "doc_id", "__h").sortWithinPartitions("at", "doc_id", "__h")
+    # Settled, as range bounds are sampled first: else each text would be encoded twice.
+    ordered = settle(tokens(docs, path, end)).repartitionByRange("at", "doc_id", "__h").sortWithinPartitions("at", "doc_id", "__h")
     return ordered.select("doc_id", "ids").mapInArrow(
         cut, f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
     )
