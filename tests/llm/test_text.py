@@ -152,6 +152,34 @@ def test_quality_edges(spark):
     assert out.columns == docs.columns and out.count() == len(rows) and quality.good_only(none_of(docs), none).count() == 0
 
 
+def test_quality_of_long_documents_only(spark):
+    r = np.random.default_rng(3)
+    words = {1: "river stone quiet morning letter".split(), 0: "$$$ WIN!! click 4U FREE".split()}
+    long = lambda q: " ".join(["word"] * 5000 + [words[q][k] for k in r.integers(0, 5, 1500)])
+    rows = [(i, long(i % 2)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = lambda qs: spark.createDataFrame(qs, "doc_id long, quality int, toxic int")
+    assert min(len(t) for _, t in rows) > quality.SAMPLE_BYTES
+    # Labels of documents that are not there do not crowd out those that are.
+    labels = marks([(i, i % 2, 0) for i in range(60)] + [(i, 1, 0) for i in range(1000, 1400)])
+    net = quality.trained(docs, labels, sample=40)
+    assert net.fitted
+    assert {x["doc_id"] for x in quality.good_only(docs, labels).collect()} == set(range(1, 60, 2))
+    for one in ([], [(i, 0, 0) for i in range(60)], [(i, 1, 0) for i in range(60)]):
+        assert quality.good_only(docs, marks(one)).count() == 60
+
+
+def test_chunks_spread_over_a_text():
+    text = b"".join(b"%07d " % i for i in range(20_000))
+    for size in (0, 1, 512, 513, 16_384, 16_385, len(text)):
+        own = text[:size]
+        x, held, count = quality.chunked(np.frombuffer(own, np.uint8), np.array([0, size]))
+        part = quality.spread(own)
+        y, kept, n = quality.chunked(np.frombuffer(part, np.uint8), np.array([0, len(part)]), quality.CHUNK)
+        take = np.arange(count[0]) if count[0] <= quality.SAMPLE_CHUNKS else np.arange(quality.SAMPLE_CHUNKS) * (count[0] - 1) // (quality.SAMPLE_CHUNKS - 1)
+        assert (y == x[take]).all() and (kept == held[take]).all() and take[-1] == count[0] - 1
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

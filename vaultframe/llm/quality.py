@@ -18,20 +18,29 @@ from vaultframe.llm.common import named, numbered, read, text_of
 #: Bytes of a chunk, bytes from one chunk to the next; bytes between two places of a filter, which spans two such steps.
 CHUNK, STRIDE, STEP = 512, 448, 4
 WIDTH, FILTERS = 8, 32
-#: Bounds of the training sample: documents, and bytes of a document. Scoring has no such bounds.
+#: Bounds of the training sample: documents, and chunks of a document, as many as cover SAMPLE_BYTES bytes; of a longer
+#: document they are spread over the whole. Scoring has no such bounds.
 SAMPLE, SAMPLE_BYTES = 4000, 16_384
+SAMPLE_CHUNKS = -(-(SAMPLE_BYTES - CHUNK + STRIDE) // STRIDE)
 EPOCHS, MOST_EPOCHS, BATCH, RATE = 14, 100, 64, 4e-3
 #: A document is predicted good from this score.
 CUT = 0.7
 PAD = 256
 
 
-def chunked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spread(text: bytes, most: int = SAMPLE_CHUNKS) -> bytes:
+    """The chunks of a text laid end to end; of more than `most`, so many at even distances, the first and the last included."""
+    count = max(1, -(-(len(text) - CHUNK + STRIDE) // STRIDE))
+    nth = range(count) if count <= most else [k * (count - 1) // (most - 1) for k in range(most)]
+    return b"".join(text[k * STRIDE : k * STRIDE + CHUNK] for k in nth)
+
+
+def chunked(data: np.ndarray, offsets: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(chunks, CHUNK) byte numbers, PAD after the end; the bytes in each chunk; chunks of each text (one at least)."""
     size = np.diff(offsets)
-    count = np.maximum(1, -(-(size - CHUNK + STRIDE) // STRIDE))
+    count = np.maximum(1, -(-(size - CHUNK + stride) // stride))
     nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    start = np.repeat(offsets[:-1], count) + nth * STRIDE
+    start = np.repeat(offsets[:-1], count) + nth * stride
     held = np.clip(np.repeat(offsets[1:], count) - start, 0, CHUNK)
     padded = np.concatenate([data, np.zeros(CHUNK, np.uint8)])
     x = padded[np.minimum(start, len(data))[:, None] + np.arange(CHUNK)].astype(np.int16)
@@ -63,7 +72,7 @@ class Network:
         at = z.argmax(axis=1) if self.training else None
         return a, np.maximum(z.max(axis=1) + self.p["b"], 0), at
 
-    training = False
+    training = fitted = False
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out = []
@@ -97,12 +106,12 @@ class Network:
         de[PAD] = 0
         return {"e": de, "w": np.einsum("cfk,cf->kf", window, dr), "b": dr.sum(axis=0), "v": f.T @ dz, "c": dz.sum(keepdims=True)}
 
-    def fit(self, texts: list[str], labels: np.ndarray, epochs: int | None = None) -> Network:
-        """Adam on the logistic loss, in a fixed random order; a small sample is passed over more often."""
+    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int | None = None) -> Network:
+        """Adam on the logistic loss of texts as spread() gives them, in a fixed random order; a small sample is passed over more often."""
         self.training = True
         epochs = epochs or max(EPOCHS, min(MOST_EPOCHS, EPOCHS * SAMPLE // max(1, len(texts))))
         order = np.random.default_rng(11)
-        raw = [np.frombuffer(t.encode()[:SAMPLE_BYTES], np.uint8) for t in texts]
+        raw = [np.frombuffer(t, np.uint8) for t in texts]
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         step = 0
         total = epochs * -(-len(raw) // BATCH)
@@ -110,7 +119,7 @@ class Network:
             for ids in np.array_split(order.permutation(len(raw)), -(-len(raw) // BATCH)):
                 data = np.concatenate([raw[i] for i in ids])
                 offsets = np.concatenate([[0], np.cumsum([len(raw[i]) for i in ids])])
-                g = self.gradients(*chunked(data, offsets), labels[ids])
+                g = self.gradients(*chunked(data, offsets, CHUNK), labels[ids])
                 step += 1
                 rate = RATE * (1 - step / (total + 1))
                 for k, d in g.items():
@@ -118,7 +127,7 @@ class Network:
                     first[k] = 0.9 * first[k] + 0.1 * d
                     second[k] = 0.99 * second[k] + 0.01 * d * d
                     self.p[k] = (self.p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-        self.training = False
+        self.training, self.fitted = False, True
         return self
 
 
@@ -128,25 +137,41 @@ def held_out():
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """A network fitted on at most `sample` labelled documents of at most SAMPLE_BYTES bytes, chosen by a hash of doc_id.
+    """A network fitted on labelled documents of any length, chosen by a hash of doc_id: `sample`, or a few more of a rare label.
 
-    Labels are chosen first and are few, so the documents are only scanned for them.
+    Labels of documents that are there are chosen first and are few, so texts are only scanned for them. Of a document
+    the chunks that spread() takes come to the driver.
 
-    Without labelled documents of both kinds the network is left as it began, with every score near the share of label 1.
+    Without labelled documents of both kinds the network is left as it began, not `fitted`, with every score near the
+    share of label 1.
     """
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # a proven bound: at most `sample` rows of two numbers
-    rows = (
-        docs.where(F.length("text") <= SAMPLE_BYTES // 2).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample).select("text", "quality").toPandas()
-    )
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    # A proven bound: at most `most` rows of two numbers. A rare label is not left to chance.
+    most = sample + 2 * BATCH
+    chosen = first(known, sample)
+    for label in (0, 1):
+        chosen = chosen.unionByName(first(known.where(F.col("quality") == label), BATCH))
+    chosen = chosen.distinct()
+
+    def per_batch(batches):
+        for batch in batches:
+            data, offsets = A.column_bytes(batch.column("text"))
+            chunks = [spread(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.record_batch([*(batch.column(c) for c in ("a", "b", "quality")), pa.array(chunks, pa.binary())], ["a", "b", "quality", "chunks"])
+
+    kind = labels.schema["quality"].dataType.simpleString()
+    found = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = found.select(F.xxhash64("doc_id").alias("a"), F.xxhash64("text").alias("b"), "quality", "text")
+    rows = found.mapInArrow(per_batch, f"a bigint, b bigint, quality {kind}, chunks binary").orderBy("a", "b").limit(most).select("quality", "chunks").toPandas()
     y = rows["quality"].to_numpy(np.float32)
     net = Network()
     net.p["c"][:] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     if len(set(y.tolist())) < 2:
         net.p["v"][:] = 0
         return net
-    return net.fit(rows["text"].tolist(), y)
+    return net.fit([bytes(t) for t in rows["chunks"]], y)
 
 
 def scored(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
@@ -162,7 +187,7 @@ def scored(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    """Every document with its score."""
+    """Every document with its score; where no network could be fitted, that is the same number for all."""
     docs = read(spark, sf_dir, "documents")
     net = trained(docs, read(spark, sf_dir, "labels"))
     out = scored(docs.select("doc_id", text_of().alias("text")), net)
@@ -172,8 +197,13 @@ def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
 
 
 def good_only(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """docs without those that score below the cut; columns and repeated rows stay."""
+    """docs without those that score below the cut; columns and repeated rows stay.
+
+    Where labelled documents of both kinds are not found, nothing is known of quality and all documents stay.
+    """
     net = trained(docs, labels)
+    if not net.fitted:
+        return docs
     plain, _, text = numbered(docs)
     return named(scored(plain, net, text).where(F.col("__score") >= cut), docs)
 
