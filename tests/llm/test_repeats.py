@@ -2,10 +2,11 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from helpers import documents, key_of, none_of
 
-from vaultframe.llm import byte_repeats, word_repeats
+from vaultframe.llm import arrays, byte_repeats, word_repeats
 
 
 @pytest.mark.parametrize("group", [None, 3])
@@ -44,3 +45,18 @@ def test_bytes(spark, group):
     got = byte_repeats.without_repeated_bytes(docs, group=group).collect()
     assert sorted((key_of(r["doc_id"]), r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in got) == sorted(want)
     assert sum(x[2] for x in want) > 1000 and byte_repeats.without_repeated_bytes(none_of(docs)).count() == 0
+
+
+def test_words_alike_in_half_a_hash_differ(spark):
+    data = np.frombuffer(b"".join(b"%06d" % i for i in range(400_000)), np.uint8)
+    start = np.arange(400_000) * 6
+    half = arrays.Rolling(data).of(start, start + 6) >> np.uint64(32)
+    order = np.argsort(half, kind="stable")
+    at = np.flatnonzero(half[order][1:] == half[order][:-1])
+    assert len(at)
+    before, after = " ".join(f"a{i}" for i in range(15)), " ".join(f"b{i}" for i in range(15))
+    texts = [f"{before} {order[k]:06d} {after}" for k in (at[0], at[0] + 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for group in (None, 1):
+        got = {r["doc_id"]: (r["n_removed"], r["kept"]) for r in word_repeats.without_repeats(docs, group=group).collect()}
+        assert got == {i: (0, t) for i, t in enumerate(texts)}

@@ -5,7 +5,8 @@ is its anchor, so equal windows have equal anchors at equal places, and only one
 are anchors once cannot lie in a repeated window; they are counted with map-side sums and never leave the scan with
 their text. Occurrences of the others leave it with the units around them and are grouped by gram into groups that
 fit in a task's memory; an operator compares a group by its own method. A gram with more occurrences than a group
-holds is taken apart by whole windows instead, again with map-side sums. Both ways are exact.
+holds is taken apart by hashes of whole windows instead, again with map-side sums. Bytes of a group are compared as they
+are; words as hashes of 64 bits, and windows of a hot gram as one hash of 64 bits: equal ones are not compared again.
 
 Equal texts are one text throughout: only the first row of each is searched.
 """
@@ -47,14 +48,14 @@ class Kind:
 
     @property
     def item(self) -> int:
-        return 4 if self.words else 1
+        return 8 if self.words else 1
 
     def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of a batch's units, and the n + 1 offsets of its rows in them."""
         if not self.words:
             return data, offsets
         start, end, row = A.word_spans(data, offsets)
-        code = (A.Rolling(data).of(start, end) >> np.uint64(32)).astype(np.uint32)
+        code = A.Rolling(data).of(start, end)
         return code, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(offsets) - 1))]).astype(np.int64)
 
     def hashes(self, code: np.ndarray, start: np.ndarray | None, size: int) -> np.ndarray:
@@ -181,7 +182,7 @@ def _compared(table: pa.Table, kind: Kind, sort: Callable) -> pa.Table:
     far, near = place - col("s1"), place - col("s2")
     raw = table.column("around").combine_chunks()
     raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
-    code = np.frombuffer(raw.buffers()[2], np.uint32 if kind.words else np.uint8).reshape(-1, 2 * kind.size - kind.gram)
+    code = np.frombuffer(raw.buffers()[2], np.uint64 if kind.words else np.uint8).reshape(-1, 2 * kind.size - kind.gram)
     begin = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset] // (code.shape[1] * kind.item)
     code = code[begin : begin + len(g)]
     right, left = code[:, : kind.size], code[:, kind.size :]
