@@ -78,6 +78,13 @@ def test_hilbert_neighbours_touch():
     assert sorted(key) == list(range(512)) and (np.abs(np.diff(cells[np.argsort(key)], axis=0)).sum(axis=1) == 1).all()
 
 
+def test_tokens_alike_in_six_bits_have_other_keys():
+    slot = packing.A.mix(np.arange(2000, dtype=np.uint64))
+    same = np.flatnonzero((slot % np.uint64(64) == slot[0] % np.uint64(64)) & (slot % np.uint64(256) != slot[0] % np.uint64(256)))
+    keys = packing.curve_keys(np.array([0, same[0]]), np.array([0, 1]), 2)
+    assert keys[0] != keys[1]
+
+
 def test_pieces_hold_every_id(spark):
     from tokenizers import Tokenizer
 
