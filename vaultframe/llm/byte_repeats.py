@@ -1,9 +1,9 @@
-"""Suffix-array dedup of bytes by bucket-pointer refinement.
+"""Suffix-array dedup of bytes by block naming.
 
-Suffixes are taken at the anchors of 400-byte windows (see repeats). Their first 64 bytes are the initial buckets.
-A bucket is refined by sorting its members on the bucket identifiers of later offsets: identifiers of eight-byte
-runs first, then of pairs of runs, pairs of pairs and so on, each level made from the one before. Members alone in
-their bucket are done and leave. The order that results gives the depths shared by neighbours, to either side of
+Suffixes are taken at the anchors of 400-byte windows (see repeats). All aligned eight-byte runs of all suffixes are
+named in order, then pairs of runs, pairs of pairs and so on to whole rows, and one sort by these names orders them.
+This is not bucket-pointer refinement: there are no initial buckets, and members alone in theirs do not leave. Grams
+too frequent for a group are taken apart by hashes of whole windows instead. The order that results gives the depths shared by neighbours, to either side of
 the anchors, and with them the repeated windows.
 """
 
