@@ -5,6 +5,9 @@ size: an item of at most u shingles keeps floor((1 - threshold) * u) + 1 values,
 least `threshold` of the item must share one of them at least (the missing shingles are too few to fill the
 sketch). Long documents therefore lose nothing to the great difference in size. Documents that share a sketch
 value are candidates; exact containment of the shingles themselves decides.
+
+A miss is impossible among shingles, not among words: an item of fewer words than a shingle has is one shingle of its
+own length, so it is found only in a document that consists of just these words, never inside a longer one.
 """
 
 from __future__ import annotations
