@@ -1,7 +1,7 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text is cut into overlapping chunks that cover it wholly. Each byte is embedded, filters of eight bytes slide
-over a chunk, each filter's greatest response is kept (max-pooling), and the mean and the maximum over all chunks
+over a chunk in steps of STEP bytes, each filter's greatest response is kept (max-pooling), and the mean and the maximum over all chunks
 enter one logistic unit. The network is trained here, on labelled documents only; a score depends on text alone.
 """
 
