@@ -12,7 +12,7 @@ import json
 import os
 import re
 from functools import lru_cache
-from math import erf
+from math import ceil, erf
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,12 @@ HASHED, DIMENSIONS, BITS = 256, 3, 10
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space beyond ASCII, in UTF-8: next to it a space is no safe place to cut.
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-_CACHE = 100_000
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of text that are encoded at once.
+_SLICE = 1 << 20
+#: Ids of one range, and ranges at most: beyond these a range is longer, as it is sorted on disk and cut as a stream.
+RANGE, RANGES = 4_000_000, 100_000
 
 
 def tokenizer_path() -> str:
@@ -43,8 +48,9 @@ def tokenizer_path() -> str:
 class Encoder:
     """Ids of a byte-level BPE vocabulary file, as the tokenizers library gives them without added special tokens.
 
-    A text is cut where white space follows other characters, which no token crosses, and each distinct piece of a
-    batch is encoded once.
+    A text is cut where white space follows other characters, which no token crosses. The distinct pieces of a batch
+    are encoded end to end, as the same holds where they meet; a piece that begins without white space, ends with it or
+    holds a special token is encoded by itself.
     """
 
     def __init__(self, path: str):
@@ -60,47 +66,66 @@ class Encoder:
         self.bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.marks = re.compile(b"|".join(re.escape(t.encode()) for t in self.special)) if self.special else None
         self.kind = np.uint16 if self.bpe.n_vocab <= 1 << 16 else np.uint32
-        self.cache: dict[bytes, bytes] = {}
-
-    def _one(self, piece: bytes) -> bytes:
-        """The packed ids of a piece."""
-        ids = self.cache.get(piece)
-        if ids is None:
-            text = piece.decode()
-            found = self.bpe.encode(text, allowed_special="all") if b"<" in piece else self.bpe.encode_ordinary(text)
-            ids = np.array(found, self.kind).tobytes()
-            if len(piece) < 64:
-                if len(self.cache) >= _CACHE:
-                    self.cache.clear()
-                self.cache[piece] = ids
-        return ids
+        #: Bytes of each id's token.
+        self.width = np.zeros(self.bpe.n_vocab, np.int64)
+        self.width[list(ranks.values())] = [len(t) for t in ranks]
+
+    def _one(self, piece: bytes) -> np.ndarray:
+        text = piece.decode()
+        return np.array(self.bpe.encode(text, allowed_special="all") if b"<" in piece else self.bpe.encode_ordinary(text), self.kind)
+
+    def _joined(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that may be encoded end to end, and how many each has."""
+        at = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+        raw = pieces.buffers()[2][at[0] : at[-1]].to_pybytes()
+        ids = np.array(self.bpe.encode_ordinary(raw.decode()), self.kind)
+        ends = np.cumsum(self.width[ids])
+        upto = np.searchsorted(ends, at[1:] - at[0], "right")
+        if not np.array_equal(ends[upto - 1], at[1:] - at[0]):
+            raise RuntimeError("a token crosses a cut: the vocabulary's pattern is not the one that texts are cut for")
+        return ids, np.diff(upto, prepend=0)
+
+    def _distinct(self, pieces: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces, and where each one's begin and how many they are; odd: pieces to encode by themselves."""
+        begin, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        ids, held = [], 0
+        if not odd.all():
+            got, many = self._joined(pieces.filter(pa.array(~odd)))
+            size[~odd], begin[~odd], held = many, np.cumsum(many) - many, len(got)
+            ids.append(got)
+        for k in np.flatnonzero(odd).tolist():
+            got = self._one(pieces[k].as_py())
+            size[k], begin[k], held = len(got), held, held + len(got)
+            ids.append(got)
+        return np.concatenate(ids), begin, size
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of each text's."""
         rows = len(offsets) - 1
         if not len(data):
             return np.zeros(0, self.kind), np.zeros(rows, np.int64)
-        space = np.isin(data, [9, 10, 11, 12, 13, 32])
-        cut = np.zeros(len(data), bool)
+        space = _SPACE[data]
+        cut, whole = np.zeros(len(data), bool), np.zeros(rows, bool)
         cut[1:] = space[1:] & ~space[:-1]
         raw = data.tobytes()
         for pattern in (_WIDE_SPACE, self.marks):
             for m in pattern.finditer(raw) if pattern else ():
                 row = np.searchsorted(offsets, m.start(), "right") - 1
-                cut[offsets[row] : offsets[row + 1]] = False
+                whole[row], cut[offsets[row] : offsets[row + 1]] = True, False
         cut[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
         start = np.flatnonzero(cut)
-        end = np.append(start[1:], len(data))
-        _, first, which = np.unique(A.Rolling(data).of(start, end), return_index=True, return_inverse=True)
-        pieces = [self._one(raw[a:b]) for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        size = np.array([len(p) for p in pieces]) // np.dtype(self.kind).itemsize
-        begin = np.cumsum(size) - size
+        ends, row = np.append(start[1:], len(data)), np.searchsorted(offsets, start, "right") - 1
+        # Pieces are made distinct by their bytes.
+        places = pa.py_buffer(np.append(start, len(data)).astype(np.int32))
+        found = pa.Array.from_buffers(pa.binary(), len(start), [None, places, pa.py_buffer(raw)]).dictionary_encode()
+        which = found.indices.to_numpy()
+        odd = np.zeros(len(found.dictionary), bool)
+        odd[which[whole[row] | ~space[start] | space[ends - 1]]] = True
+        ids, begin, size = self._distinct(found.dictionary, odd)
         many = size[which]
         total = np.cumsum(many)
         at = np.repeat(begin[which] - (total - many), many) + np.arange(total[-1])
-        ids = np.frombuffer(b"".join(pieces), self.kind)[at]
-        row = np.searchsorted(offsets, start, "right") - 1
-        return ids, np.bincount(row, many, rows).astype(np.int64)
+        return ids[at], np.bincount(row, many, rows).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -152,7 +177,7 @@ def tokens(docs: DataFrame, path: str, end: int) -> DataFrame:
         encoder = _encoder(path)
         for batch in batches:
             data, offsets = A.column_bytes(batch.column("text"))
-            for a, b in A.slices(offsets):
+            for a, b in A.slices(offsets, _SLICE):
                 ids, size = encoder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 row = np.repeat(np.arange(b - a), size)
                 keys = curve_keys(ids, row, b - a)
@@ -165,9 +190,65 @@ def tokens(docs: DataFrame, path: str, end: int) -> DataFrame:
                     [batch.column("doc_id").slice(a, b - a), batch.column("__h").slice(a, b - a), packed, pa.array(size), pa.array(keys)],
                     ["doc_id", "__h", "ids", "n", "at"],
                 )
-        encoder.cache.clear()  # workers outlive their tasks
 
-    return row_key(docs.select("doc_id", text_of().alias("text"))).mapInArrow(per_batch, f"doc_id {kind}, __h bigint, ids binary, n bigint, at bigint")
+    return row_key(docs.select("doc_id", text_of().alias("text"))).mapInArrow(A.tidy(per_batch), f"doc_id {kind}, __h bigint, ids binary, n bigint, at bigint")
+
+
+class Run:
+    """Ids under way in a range: the pieces of documents that hold them, end to end."""
+
+    def __init__(self, doc: pa.Array, first: np.ndarray, size: np.ndarray, total: np.ndarray, ids: np.ndarray):
+        self.doc, self.first, self.size, self.total, self.ids = doc, first, size, total, ids
+        self.at = np.cumsum(size) - size
+
+    def then(self, other: Run) -> Run:
+        both = [np.concatenate([getattr(self, c), getattr(other, c)]) for c in ("first", "size", "total", "ids")]
+        return Run(pa.concat_arrays([self.doc, other.doc]), *both)
+
+    def after(self, place: int) -> Run:
+        """What lies from a place on."""
+        k = max(0, int(np.searchsorted(self.at, place, "right")) - 1)
+        skip = max(0, place - int(self.at[k])) if len(self.at) else 0
+        if len(self.size) and skip >= self.size[k]:
+            k, skip = k + 1, 0
+        first, size = self.first[k:].copy(), self.size[k:].copy()
+        first[:1] += skip
+        size[:1] -= skip
+        return Run(self.doc.slice(k), first, size, self.total[k:], self.ids[place:].copy())
+
+    def pieces(self, bounds: np.ndarray, number: int) -> pa.RecordBatch:
+        """Rows of the sequences between bounds, the first of which is `number`."""
+        cuts = np.unique(np.concatenate([self.at[self.at < bounds[-1]], bounds[:-1]]))
+        ends = np.append(cuts[1:], bounds[-1])
+        own, seq = np.searchsorted(self.at, cuts, "right") - 1, np.searchsorted(bounds, cuts, "right") - 1
+        raw = pa.py_buffer(np.ascontiguousarray(self.ids[: bounds[-1]], "<u4"))
+        ids = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(np.append(cuts, bounds[-1]).astype(np.int32) * 4), raw])
+        columns = [self.first[own] + cuts - self.at[own], ends - cuts, ids, self.total[own], number + seq, cuts - bounds[seq]]
+        return pa.record_batch([self.doc.take(pa.array(own)), *[c if isinstance(c, pa.Array) else pa.array(c) for c in columns]], PIECE)
+
+
+PIECE = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+
+
+def sequences(batches, length: int, width: type, first: int):
+    """Pieces of a sorted range of documents (doc_id, ids), batch by batch; sequences are numbered from `first`."""
+    held, number = None, first
+    for batch in batches:
+        column = batch.column("ids")
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        flat, ends = np.frombuffer(column.buffers()[2], width), ends // np.dtype(width).itemsize
+        for a, b in A.slices(ends - ends[0], _SLICE):
+            size = np.diff(ends[a : b + 1])
+            run = Run(batch.column("doc_id").slice(a, b - a), np.zeros(b - a, np.int64), size, size, flat[ends[a] : ends[b]])
+            run = held.then(run) if held else run
+            whole = len(run.ids) // length * length
+            if whole:
+                yield run.pieces(np.arange(0, whole + 1, length), number)
+                number += whole // length
+            held = run.after(whole)
+    if held and (rest := len(held.ids)):
+        powers = [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
+        yield held.pieces(np.cumsum([0, *powers]), number)
 
 
 def pack(docs: DataFrame, length: int = LENGTH, end: int = END, path: str | None = None) -> DataFrame:
@@ -178,56 +259,18 @@ def pack(docs: DataFrame, length: int = LENGTH, end: int = END, path: str | None
     """
     path = path or os.path.realpath(tokenizer_path())
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def cut(batches):
-        part = TaskContext.get().partitionId() << 32
-        width = _encoder(path).kind
-        number, filled, open_ = 0, 0, []  # the sequence under way, its length and its pieces
-
-        def table(rows):
-            return pa.record_batch(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names
-            )
-
-        types, out, held = None, [], 0
-        for batch in batches:
-            types = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                ids = np.frombuffer(raw.as_buffer(), width)
-                at = 0
-                while at < len(ids):
-                    take = min(length - filled, len(ids) - at)
-                    open_.append((doc, at, take, ids[at : at + take].astype("<u4"), len(ids)))
-                    at, filled = at + take, filled + take
-                    if filled == length:
-                        place = 0
-                        for d, s, n, i, total in open_:
-                            out.append((d, s, n, i.tobytes(), total, part + number, place))
-                            place += n
-                        number, filled, open_, held = number + 1, 0, [], held + length
-                if held > 1 << 20:
-                    yield table(out)
-                    out, held = [], 0
-        # The rest, in sequences of falling powers of two.
-        room, place = 0, 0
-        for doc, at, n, ids, total in open_:
-            done = 0
-            while done < n:
-                if not room:
-                    room, place = 1 << (filled.bit_length() - 1), 0
-                take = min(room, n - done)
-                out.append((doc, at + done, take, ids[done : done + take].tobytes(), total, part + number, place))
-                done, room, place, filled = done + take, room - take, place + take, filled - take
-                if not room:
-                    number += 1
-        if out:
-            yield table(out)
-
-    # Settled, as range bounds are sampled first: else each text would be encoded twice.
-    ordered = settle(tokens(docs, path, end)).repartitionByRange("at", "doc_id", "__h").sortWithinPartitions("at", "doc_id", "__h")
+        yield from sequences(batches, length, _encoder(path).kind, TaskContext.get().partitionId() << 32)
+
+    # Settled, as range bounds are sampled first: else each text would be encoded twice. The number of ranges follows
+    # the number of ids; a last key parts rows that are equal.
+    coded = settle(tokens(docs, path, end)).withColumn("__t", F.monotonically_increasing_id())
+    total = coded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    keys = ("at", "doc_id", "__h", "__t")
+    ordered = coded.repartitionByRange(min(RANGES, ceil(total / RANGE) or 1), *keys).sortWithinPartitions(*keys)
     return ordered.select("doc_id", "ids").mapInArrow(
-        cut, f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
+        A.tidy(cut), f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
     )
 
 
