@@ -29,7 +29,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NESTED = frozenset("li dt dd tr td th option p".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|title|template|svg|math)\b[^>]*+>.*?(?:</(?P=raw)\b[^>]*+>|\Z)"
+    r"|<(?P<raw>script)\b[^>]*+>.*?(?:</script\b[^>]*+>|\Z)"
+    r"|<(?P<raw2>style|title|template)\b[^>]*+(?<!/)>.*?(?:</(?P=raw2)\b[^>]*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<rest>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*+)(?P<rest2>[^>]*+)>"
     r"|<[!?/][^>]*+>|<[a-z/!?][^>]*+\Z",
@@ -86,10 +87,10 @@ def blocks(page: str) -> Iterator[tuple[str, tuple[str, ...]]]:
             continue
         if stack[-1][0] == "p" or (tag in NESTED and stack[-1][0] == tag):
             stack.pop() if len(stack) > 1 else None
-        if tag not in VOID:
-            rest = m["rest"] if m["tag"] else m["rest2"]
+        rest = (m["rest"] if m["tag"] else m["rest2"]) or ""
+        if tag not in VOID and not rest.endswith("/"):  # a self-closing element ends at once
             own = ["tag:" + tag]
-            for x in NAMED.finditer(rest) if rest else ():
+            for x in NAMED.finditer(rest):
                 own += ["name:" + w for w in WORD.findall((x[1] or x[2] or x[3] or "").lower())]
             stack.append((tag, (*stack[-1][1], *own)))
     if at < len(page) and (tail := page[at:]).strip():
@@ -198,7 +199,8 @@ def extract(web: DataFrame, field: Field | None = None) -> DataFrame:
     """page_id, url, text and n_chars of each row: the article's blocks, joined by one space.
 
     Null and empty pages, and pages without an article, give an empty text. Broken markup is read leniently (an
-    unfinished last tag is dropped, unclosed elements end with their parents). Equal rows each get their row; other
+    unfinished last tag is dropped, unclosed elements end with their parents, self-closing ones at once). What drawings
+    and formulas (svg, math) say is text of the block they stand in, but for their titles and styles. Equal rows each get their row; other
     columns are ignored.
     """
     field = field or trained()
