@@ -1,12 +1,13 @@
 """Word and byte repeats against plain loops."""
 
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
-from helpers import documents, key_of, none_of
+from helpers import documents, key_of, none_of, prose
 
-from vaultframe.llm import arrays, byte_repeats, word_repeats
+from vaultframe.llm import arrays, byte_repeats, repeats, word_repeats
 
 
 @pytest.mark.parametrize("group", [None, 3])
@@ -42,7 +43,21 @@ def test_bytes(spark, group):
                 gone[k : k + 400] = b"\1" * 400
         spans = sum(1 for k in range(len(gone)) if gone[k] and not (k and gone[k - 1]))
         want.append((key_of(i), len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone, strict=True) if not g)))
+    words = [b.split() for _, b in raw]
+    holders = {}
+    for n, w in enumerate(words):
+        for k in range(len(w) - 50):
+            holders.setdefault(tuple(w[k : k + 51]), set()).add(n)
+    shared = []
+    for n, w in enumerate(words):
+        hit = bytearray(len(w))
+        for k in range(len(w) - 50):
+            if len(holders[tuple(w[k : k + 51])]) > 1:
+                hit[k : k + 51] = b"\1" * 51
+        shared.append(sum(hit))
     got = byte_repeats.without_repeated_bytes(docs, group=group).collect()
+    assert sorted((key_of(r["doc_id"]), r["n_bytes"], r["n_shared_words"]) for r in got) == sorted((key_of(i), len(b), x) for (i, b), x in zip(raw, shared, strict=True))
+    assert 0 < sum(x > 0 for x in shared) < len(shared)
     assert sorted((key_of(r["doc_id"]), r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in got) == sorted(want)
     assert sum(x[2] for x in want) > 1000 and byte_repeats.without_repeated_bytes(none_of(docs)).count() == 0
 
@@ -60,3 +75,50 @@ def test_words_alike_in_half_a_hash_differ(spark):
     for group in (None, 1):
         got = {r["doc_id"]: (r["n_removed"], r["kept"]) for r in word_repeats.without_repeats(docs, group=group).collect()}
         assert got == {i: (0, t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("kind", [np.uint8, np.uint64])
+def test_refinement_sorts(kind):
+    r = np.random.default_rng(2)
+    for n, width, letters in ((1, 40, 2), (400, 40, 2), (300, 400, 3), (200, 13, 2), (50, 1, 3), (0, 16, 2)):
+        rows, group = r.integers(0, letters, (n, width)).astype(kind), r.integers(0, 5, n)
+        if n > 10:  # long common beginnings, and equal rows
+            rows[: n // 2] = rows[0]
+            rows[: n // 4, -1] = r.integers(0, 3, n // 4)
+        order = byte_repeats.refined_order(rows, group)
+        assert sorted(order) == list(range(n))
+        seen = [(group[k], tuple(rows[k])) for k in order]
+        assert seen == sorted(seen)
+
+
+def test_subtrees_cut_at_a_depth():
+    rows = np.array([[1, 2, 3], [1, 2, 4], [1, 5, 5], [2, 2, 2], [1, 2, 3]], np.uint64)
+    group = np.zeros(5, int)
+    tree = repeats.Subtrees(word_repeats.suffix_order(rows, group), rows, group)
+    alike = lambda depth: [[k for k in range(5) if tree.nodes(depth)[k] == x] for x in sorted(set(tree.nodes(depth)))]
+    assert alike(1) == [[0, 1, 2, 4], [3]] and alike(2) == [[0, 1, 4], [2], [3]] and alike(3) == [[0, 4], [1], [2], [3]]
+
+
+def test_frequent_prefixes_grow(spark):
+    """One passage in most documents, with beginnings and endings of their own, and grams that are frequent in other company."""
+    r = random.Random(4)
+    common = prose(r, 45).split()
+    texts = []
+    for i in range(60):
+        a, b = r.choice([(0, 45), (5, 40), (0, 12), (20, 33)])
+        texts.append(" ".join([*prose(r, r.randint(0, 30)).split(), *common[a:b], *(w for w in prose(r, r.randint(0, 30)).split())]))
+    texts += [prose(r, 7) + " same line" * n for n in (40, 60, 11)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen, want = {}, {}
+    for i, t in rows:
+        w = t.encode().split()
+        gone = bytearray(len(w))
+        for k in range(len(w) - 19):
+            if seen.setdefault(tuple(w[k : k + 20]), (i, k)) != (i, k):
+                gone[k : k + 20] = b"\1" * 20
+        want[i] = sum(gone)
+    for group in (1, 8):
+        got = {r["doc_id"]: r["n_removed"] for r in word_repeats.without_repeats(docs, group=group).collect()}
+        assert got == want
+    assert sum(want.values()) > 500

@@ -3,18 +3,22 @@
 A passage is a window of `size` units of one document. In each window the gram (a shorter run of units) of least hash
 is its anchor, so equal windows have equal anchors at equal places, and only one gram in many is an anchor. Grams that
 are anchors once cannot lie in a repeated window; they are counted with map-side sums and never leave the scan with
-their text. Occurrences of the others leave it with the units around them and are grouped by gram into groups that
-fit in a task's memory; an operator compares a group by its own method. A gram with more occurrences than a group
-holds is taken apart by hashes of whole windows instead, again with map-side sums. Bytes of a group are compared as they
-are; words as hashes of 64 bits, and windows of a hot gram as one hash of 64 bits: equal ones are not compared again.
+their text. Occurrences of the others leave it with the units around them and are grouped by gram, the first prefix,
+into groups that fit in a task's memory; an operator compares a group by its own method.
 
-Equal texts are one text throughout: only the first row of each is searched.
+A gram with more occurrences than a group holds is grown: each window around it becomes a suffix of its own, equal
+ones of a text in one row, and is dealt by ever longer prefixes (Kind.steps). A prefix that occurs once leaves, one that fits goes to a group, and one
+that is frequent even as a whole window is a node without a tree below, whose least leaf is found with map-side minima.
+
+Units of a group are compared as they are, words as hashes of 64 bits; whole windows that no group holds are named by
+128 bits. Equal texts are one text throughout: only the first row of each is searched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -26,23 +30,27 @@ from vaultframe.llm import arrays as A
 from vaultframe.llm.common import settle, small, text_of
 
 LAST_ID = (1 << 63) - 1
-#: Bytes around the occurrences in a group of grams; a gram with more of them is hot.
-GROUP_BYTES = 28_000_000
+#: Bytes around the occurrences in a group of grams; a gram with more of them is grown.
+GROUP_BYTES = 16_000_000
+#: End of a span that stands for a whole text.
+WHOLE = 1 << 40
 
 
 @dataclass(frozen=True)
 class Kind:
-    """size and gram in units; words: units are words (else bytes); first: the first of equal windows stays."""
+    """size and gram in units; words: units are words (else bytes); marks: which of equal windows are reported."""
 
     size: int
     gram: int
     words: bool
-    first: bool
+    marks: str  # "later": all but the first; "all"; "across": all, if several documents have them
     group: int = 0  # occurrences in a group; 0: as GROUP_BYTES allows
 
     def __post_init__(self):
         if not 0 < self.gram <= self.size < 1 << 15:
             raise ValueError("a gram is at most a window, and a window less than 32768 units")
+        if self.marks not in ("later", "all", "across"):
+            raise ValueError(self.marks)
         if not self.group:
             object.__setattr__(self, "group", GROUP_BYTES // (self.item * (2 * self.size - self.gram)))
 
@@ -50,6 +58,11 @@ class Kind:
     def item(self) -> int:
         return 8 if self.words else 1
 
+    @property
+    def steps(self) -> list[int]:
+        """Lengths of the prefixes of a window by which frequent grams are grown; the whole window comes after them."""
+        return sorted({self.gram + (self.size - self.gram) * k // 3 for k in (1, 2)} - {self.gram, self.size})
+
     def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of a batch's units, and the n + 1 offsets of its rows in them."""
         if not self.words:
@@ -116,67 +129,142 @@ def _scan(texts: DataFrame, kind: Kind) -> DataFrame:
                     p = place[part] << 31 | (place - s1)[part] << 15 | (place - s2)[part]
                     yield pa.record_batch([pa.array(A.signed(g[part])), pa.array(d[a:b][row[part]]), pa.array(h[a:b][row[part]]), pa.array(p)], ["g", "d", "h", "p"])
 
-    return texts.mapInArrow(per_batch, "g bigint, d bigint, h bigint, p bigint")
+    return texts.mapInArrow(A.tidy(per_batch), "g bigint, d bigint, h bigint, p bigint")
 
 
-def _surroundings(found: DataFrame, kind: Kind) -> DataFrame:
-    """Of texts with their repeated anchors: a row per anchor with the units around it, or its windows' hashes if hot."""
-    right, left = kind.size, kind.size - kind.gram
+def _of_hits(found: DataFrame, kind: Kind, rows_of: Callable, schema: str) -> DataFrame:
+    """rows_of(codes, first code of each hit's text, g, d, h, place, s1, s2) over texts with a list of hits (g, p)."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def per_batch(batches):
         for batch in batches:
             data, offsets = A.column_bytes(batch.column("text"))
             d, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "h"))
-            lists = batch.column("hits")
-            ends = lists.offsets.to_numpy()
-            flat = lists.values
-            g, p = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("g", "p"))
-            hot, p = p < 0, np.where(p < 0, -p - 1, p)  # hot grams have their numbers negated
-            cols = {"g": g, "hot": hot, "place": p >> 31, "s1": (p >> 31) - (p >> 15 & 0xFFFF), "s2": (p >> 31) - (p & 0x7FFF)}
+            ends, flat = batch.column("hits").offsets.to_numpy(), batch.column("hits").values
             for a, b in A.slices(offsets):
                 code, at = kind.units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                own = {c: v[ends[a] : ends[b]] for c, v in cols.items()}
-                row = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
-                hot = own["hot"]
+                own = flat.slice(ends[a], ends[b] - ends[a])
+                g, p = (own.field(c).to_numpy(zero_copy_only=False) for c in ("g", "p"))
+                row, place = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1])), p >> 31
                 for n in range(0, len(row), 20_000):
-                    k = np.arange(n, min(n + 20_000, len(row)))
-                    base = at[row[k]] + own["place"][k]
-                    # Units beyond the anchor's windows are left out: as zeros they cost little.
-                    r = base[:, None] + np.arange(right)
-                    r = np.where(r < (at[row[k]] + own["s2"][k] + kind.size)[:, None], code[np.minimum(r, len(code) - 1)], 0)
-                    l = base[:, None] - 1 - np.arange(left)  # noqa: E741
-                    l = np.where(l >= (at[row[k]] + own["s1"][k])[:, None], code[np.maximum(l, 0)], 0)  # noqa: E741
-                    around = np.ascontiguousarray(np.concatenate([r, l], axis=1).astype(code.dtype))
-                    many = np.where(hot[k], own["s2"][k] - own["s1"][k] + 1, 0)
-                    width = np.where(hot[k], 0, around.shape[1] * around.itemsize)
-                    packed = around[~hot[k]]
-                    starts = np.repeat(at[row[k]] + own["s1"][k] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                    whole = kind.hashes(code, starts, kind.size) if many.any() else np.zeros(0, np.uint64)
-                    yield pa.record_batch(
-                        [
-                            pa.array(own["g"][k]), pa.array(d[a:b][row[k]]), pa.array(h[a:b][row[k]]), *[pa.array(own[c][k].astype(np.int32)) for c in ("place", "s1", "s2")],
-                            pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(width)]).astype(np.int32)), pa.py_buffer(packed)]),
-                            pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(A.signed(whole))),
-                        ],
-                        ["g", "d", "h", "place", "s1", "s2", "around", "whole"],
-                    )
-
-    return found.mapInArrow(per_batch, "g bigint, d bigint, h bigint, place int, s1 int, s2 int, around binary, whole array<bigint>")
-
-
-def depths(order: np.ndarray, rows: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Units that each sorted row shares with the one before it; -1 where another group begins."""
-    x = rows[order]
-    shared = np.full(len(x), -1, np.int64)
-    if len(x) > 1:
-        other = x[1:] != x[:-1]
-        shared[1:] = np.where(other.any(axis=1), other.argmax(axis=1), x.shape[1])
-        shared[1:][group[order][1:] != group[order][:-1]] = -1
-    return shared
+                    k = slice(n, n + 20_000)
+                    hit = g[k], d[a:b][row[k]], h[a:b][row[k]], place[k], (place - (p >> 15 & 0xFFFF))[k], (place - (p & 0x7FFF))[k]
+                    yield pa.record_batch(rows_of(code, at[row[k]], *hit), names)
+
+    return found.mapInArrow(A.tidy(per_batch), schema)
+
+
+def _surroundings(found: DataFrame, kind: Kind) -> DataFrame:
+    """Of texts with their hits: a row per hit with the units around it, to the right from its place, to the left backwards."""
+    right, left = kind.size, kind.size - kind.gram
+
+    def rows_of(code, begin, g, d, h, place, s1, s2):
+        base = begin + place
+        # Units beyond the windows of a hit are left out: as zeros they cost little.
+        r = base[:, None] + np.arange(right)
+        r = np.where(r < (begin + s2 + kind.size)[:, None], code[np.minimum(r, len(code) - 1)], 0)
+        l = base[:, None] - 1 - np.arange(left)  # noqa: E741
+        l = np.where(l >= (begin + s1)[:, None], code[np.maximum(l, 0)], 0)  # noqa: E741
+        around = np.ascontiguousarray(np.concatenate([r, l], axis=1).astype(code.dtype))
+        ends = (np.arange(len(g) + 1) * around.shape[1] * around.itemsize).astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), len(g), [None, pa.py_buffer(ends), pa.py_buffer(around)])
+        return [pa.array(g), pa.array(d), pa.array(h), *[pa.array(x.astype(np.int32)) for x in (place, s1, s2)], packed]
+
+    return _of_hits(found, kind, rows_of, "g bigint, d bigint, h bigint, place int, s1 int, s2 int, around binary")
+
+
+def _windows(found: DataFrame, kind: Kind) -> DataFrame:
+    """Of texts with their hits: a row per text and distinct window around them.
+
+    It has the starts, the spans that the windows cover, all of them (spans) and all but the first (rest), and ids:
+    hashes of the window's growing prefixes and two of the whole.
+    """
+
+    def rows_of(code, begin, g, d, h, place, s1, s2):
+        many = s2 - s1 + 1
+        which = np.repeat(np.arange(len(g)), many)
+        start = s1[which] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+        at = begin[which] + start
+        one, two = A.Rolling(code), A.Rolling(A.mix(code.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)))
+        ids = np.stack([*[one.of(at, at + n) for n in (*kind.steps, kind.size)], two.of(at, at + kind.size)], axis=1)
+        order = np.lexsort((start, ids[:, -1], ids[:, -2], begin[which]))
+        which, start, ids = which[order], start[order], ids[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (ids[1:, -2:] != ids[:-1, -2:]).any(axis=1) | (begin[which][1:] != begin[which][:-1])
+        first = np.flatnonzero(new)
+        ends = np.append(first, len(order)).astype(np.int32)
+
+        def covered(take: np.ndarray) -> pa.Array:
+            """Joined spans of the windows that `take` marks, as a list for each row."""
+            s, row = start[take], (np.cumsum(new) - 1)[take]
+            apart = np.ones(len(s), bool)
+            apart[1:] = (s[1:] > s[:-1] + kind.size) | (row[1:] != row[:-1])
+            k = np.flatnonzero(apart)
+            last = np.append(k[1:], len(s)) - 1
+            lists = np.concatenate([[0], np.cumsum(np.bincount(row[k], minlength=len(first)))]).astype(np.int32)
+            span = pa.StructArray.from_arrays([pa.array(s[k]), pa.array(s[last] + kind.size if len(s) else s)], ["start", "end"])
+            return pa.ListArray.from_arrays(pa.array(lists), span)
+
+        keys = pa.FixedSizeListArray.from_arrays(pa.array(A.signed(np.ascontiguousarray(ids[first]).ravel())), ids.shape[1]).cast(pa.list_(pa.int64()))
+        starts = pa.ListArray.from_arrays(pa.array(ends), pa.array(start))
+        return [pa.array(d[which[first]]), pa.array(h[which[first]]), starts, covered(np.ones(len(order), bool)), covered(~new), keys]
+
+    span = "array<struct<start:bigint,end:bigint>>"
+    return _of_hits(found, kind, rows_of, f"d bigint, h bigint, starts array<bigint>, spans {span}, rest {span}, ids array<bigint>")
+
+
+def _grown(windows: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
+    """(hits, spans): of windows of frequent grams, those whose prefix fits in a group, and what repeats beyond that."""
+    hits, left, several = [], windows, F.sum(F.size("starts")).alias("n")
+    for k in range(len(kind.steps)):
+        left = left.withColumn("g", F.get("ids", F.lit(k)))
+        left = settle(left.join(small(settle(left.groupBy("g").agg(several).where("n > 1"))), "g"))
+        fit = left.where(F.col("n") <= kind.group).select("g", "d", "h", F.explode("starts").alias("start"))
+        hits.append(fit.select("g", "d", "h", F.shiftleft("start", 31).alias("p")))
+        left = left.where(F.col("n") > kind.group).drop("g", "n")
+    left = left.withColumns({"w1": F.get("ids", F.lit(len(kind.steps))), "w2": F.get("ids", F.lit(len(kind.steps) + 1)), "doc": F.struct("d", "h")})
+    left = left.withColumn("place", F.struct("d", "h", F.get("starts", F.lit(0))))
+    # Settled, so that occurrences of a frequent window are not dealt by it: few windows are sent, many are a join that Spark can split.
+    nodes = left.groupBy("w1", "w2").agg(F.min("place").alias("least"), several, (F.min("doc") != F.max("doc")).alias("several")).where("n > 1")
+    again = left.join(small(settle(nodes)), ["w1", "w2"])
+    own = F.col("spans")
+    if kind.marks == "later":
+        own = F.when(F.col("place") == F.col("least"), F.col("rest")).otherwise(own)
+    elif kind.marks == "across":
+        again = again.where("several")
+    spans = again.select("d", "h", F.explode(own).alias("s")).select("d", "h", "s.start", "s.end")
+    none = windows.select(F.lit(0).cast("long").alias("g"), "d", "h", F.lit(0).cast("long").alias("p")).where("false")
+    return reduce(DataFrame.unionByName, hits, none), spans
+
+
+class Subtrees:
+    """Suffix trees of groups of suffixes, in array form: the leaves in order and the depth that neighbours share.
+
+    An internal node is a run of leaves whose neighbours share at least its depth; cut at a depth, the trees fall into
+    the nodes that are at least so deep.
+    """
+
+    def __init__(self, order: np.ndarray, suffixes: np.ndarray, group: np.ndarray):
+        self.order, x = order, suffixes[order]
+        self.shared = np.full(len(x), -1, np.int64)  # -1: another tree begins
+        if len(x) > 1:
+            other = x[1:] != x[:-1]
+            self.shared[1:] = np.where(other.any(axis=1), other.argmax(axis=1), x.shape[1])
+            self.shared[1:][group[order][1:] != group[order][:-1]] = -1
+
+    def nodes(self, depth: int) -> np.ndarray:
+        """For each suffix, the number of the node of at least that depth in which it lies; leaves alone are nodes too."""
+        node = np.empty(len(self.order), np.int64)
+        node[self.order] = np.cumsum(self.shared < depth)
+        return node
 
 
 def _compared(table: pa.Table, kind: Kind, sort: Callable) -> pa.Table:
-    """d, h, start and end of what a group's occurrences have in repeated windows."""
+    """d, h, start and end of what a group's occurrences have in repeated windows.
+
+    A window that begins o units before a hit is equal to another one if both hits lie in one node of depth size - o to
+    the right and in one of depth o to the left.
+    """
     col = lambda c: table.column(c).to_numpy()
     g, d, h, place = col("g"), col("d"), col("h"), col("place").astype(np.int64)
     far, near = place - col("s1"), place - col("s2")
@@ -185,27 +273,24 @@ def _compared(table: pa.Table, kind: Kind, sort: Callable) -> pa.Table:
     code = np.frombuffer(raw.buffers()[2], np.uint64 if kind.words else np.uint8).reshape(-1, 2 * kind.size - kind.gram)
     begin = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset] // (code.shape[1] * kind.item)
     code = code[begin : begin + len(g)]
-    right, left = code[:, : kind.size], code[:, kind.size :]
-    by_right, by_left = sort(right, g), sort(left, g)
-    deep_right, deep_left = depths(by_right, right, g), depths(by_left, left, g)
+    right, left = (Subtrees(sort(x, g), x, g) for x in (code[:, : kind.size], code[:, kind.size :]))
     doc = np.unique(np.stack([d, h], axis=1), axis=0, return_inverse=True)[1].ravel().astype(np.int64)
     rank = (doc << 32) | place
     low, high = np.full(len(g), 1 << 40), np.full(len(g), -1)
-    node_right, node_left = np.empty(len(g), np.int64), np.empty(len(g), np.int64)
     for o in range(int(near.min()), int(far.max()) + 1):
         held = np.flatnonzero((near <= o) & (o <= far))
         if len(held) < 2:
             continue
-        # Nodes of that depth: rows that share so many units to the right, and to the left.
-        node_right[by_right] = np.cumsum(deep_right < kind.size - o)
-        node_left[by_left] = np.cumsum(deep_left < o)
-        both = node_right[held] << 32 | node_left[held]
-        order = np.lexsort((rank[held], both)) if kind.first else np.argsort(both, kind="stable")
+        both = right.nodes(kind.size - o)[held] << 32 | left.nodes(o)[held]
+        order = np.lexsort((rank[held], both)) if kind.marks != "all" else np.argsort(both, kind="stable")
         held, both = held[order], both[order]
         new = np.concatenate([[True], both[1:] != both[:-1]])
-        if kind.first:
-            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            marked = rank[held] != rank[held[first]]
+        first = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        if kind.marks == "later":
+            marked = rank[held] != rank[held[first]][run]
+        elif kind.marks == "across":
+            marked = (doc[held[first]] != doc[held[np.append(first[1:], len(held)) - 1]])[run]
         else:
             marked = ~(new & np.append(new[1:], True))
         hit = held[marked]
@@ -225,50 +310,59 @@ def same(a: DataFrame, b: DataFrame):
     return (a["d"] == b["kd"]) & (a["h"] == b["kh"])
 
 
-def repeated_spans(docs: DataFrame, kind: Kind, sort: Callable) -> tuple[DataFrame, DataFrame]:
-    """(marks, rows): marks has d, h and spans, a list of (start, end) in units, of documents with repeated windows;
-    rows is keyed(docs). A span may run past the end of a document that is a copy of another one as a whole.
+@dataclass(frozen=True)
+class Texts:
+    """rows: keyed(docs); copies: rows (d, h) whose text another row has, and whether that is an earlier one."""
+
+    rows: DataFrame
+    copies: DataFrame
+
+    @classmethod
+    def of(cls, docs: DataFrame) -> Texts:
+        rows = keyed(docs.select("doc_id", "text"))
+        classes = settle(rows.groupBy("h", "h2").agg(F.min("d").alias("least"), F.count("*").alias("copies")).where("copies > 1"))
+        own = rows.select("d", "h", "h2").join(small(classes), ["h", "h2"])
+        return cls(rows, settle(own.select("d", "h", (F.col("d") > F.col("least")).alias("later")).distinct()))
+
+
+def repeated_spans(texts_: Texts, kind: Kind, sort: Callable) -> DataFrame:
+    """d, h and spans, a list of (start, end) in units, of documents with repeated windows.
+
+    A span may run past the end of a document that is a copy of another one as a whole.
     """
-    rows = keyed(docs.select("doc_id", "text"))
-    classes = rows.groupBy("h", "h2").agg(F.min("d").alias("least"), F.count("*").alias("copies")).where("copies > 1")
-    classes = settle(classes)
-    narrow = rows.select("d", "h", "h2").join(classes, ["h", "h2"])
-    later = narrow.where("d > least").select("d", "h").distinct()
-    copies = settle(later if kind.first else narrow.select("d", "h", (F.col("d") > F.col("least")).alias("later")).distinct())
-    away = small((copies if kind.first else copies.where("later")).select(F.col("d").alias("kd"), F.col("h").alias("kh")))
+    rows, copies = texts_.rows, texts_.copies
+    away = small(copies.where("later").select(F.col("d").alias("kd"), F.col("h").alias("kh")))
     texts = rows.select("d", "h", text_of().alias("text"))
     texts = texts.join(away, same(texts, away), "left_anti")
 
     places = _scan(texts, kind)
     several = settle(places.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"))
-    number, hot = several.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n") > kind.group, F.lit(False))).first()
-    marked = F.when(F.col("n") > kind.group, -F.col("p") - 1).otherwise(F.col("p"))
-    hits = settle(places.join(several, "g").select("g", "d", "h", marked.alias("p")))
+    number, frequent = several.agg(F.coalesce(F.sum(F.when(F.col("n") <= kind.group, F.col("n"))), F.lit(0)), F.coalesce(F.max("n") > kind.group, F.lit(False))).first()
+    hits = settle(places.join(several, "g").select("g", "d", "h", "p", (F.col("n") > kind.group).alias("frequent")))
 
-    def around(part: DataFrame) -> DataFrame:
-        """The surroundings of some hits; only texts that have any are shuffled."""
+    def looked_up(part: DataFrame) -> DataFrame:
+        """The texts of some hits, with these; only texts that have any are shuffled."""
         wanted = small(settle(part.select(F.col("d").alias("kd"), F.col("h").alias("kh")).distinct()))
         near = texts.join(wanted, same(texts, wanted), "left_semi")
         own = part.groupBy("d", "h").agg(F.collect_list(F.struct("g", "p")).alias("hits"))
-        return _surroundings(near.join(own, ["d", "h"]).select("d", "h", "text", "hits"), kind)
-
+        return near.join(own, ["d", "h"]).select("d", "h", "text", "hits")
+
+    spans = None
+    if frequent:
+        grown, spans = _grown(settle(_windows(looked_up(hits.where("frequent")), kind)), kind)
+        grown = settle(grown)
+        number += grown.count()
+        hits = hits.where("not frequent").drop("frequent").unionByName(grown)
     parts = max(1, ceil(number / kind.group))
-    grouped = around(hits.where("p >= 0")).withColumn("part", F.pmod(F.xxhash64("g", F.lit(3)), F.lit(parts)))
-    spans = grouped.repartition(parts, "part").groupBy("part").applyInArrow(
+    grouped = _surroundings(looked_up(hits), kind).withColumn("part", F.pmod(F.xxhash64("g", F.lit(3)), F.lit(parts)))
+    found = grouped.repartition(parts, "part").groupBy("part").applyInArrow(
         lambda table: _compared(table, kind, sort), "d bigint, h bigint, start bigint, end bigint"
     )
-    if hot:
-        whole = around(hits.where("p < 0")).select("d", "h", "s1", F.posexplode("whole").alias("i", "w"))
-        whole = settle(whole.select("d", "h", (F.col("s1") + F.col("i")).cast("long").alias("start"), "w"))
-        least = whole.groupBy("w").agg(F.min(F.struct("d", "h", "start")).alias("least"), F.count("*").alias("n")).where("n > 1")
-        # Settled, so that occurrences of a frequent window are not dealt by it: few windows are sent, many are a join that Spark can split.
-        again = whole.join(small(settle(least)), "w")
-        again = again.where(F.struct("d", "h", "start") != F.col("least")) if kind.first else again
-        spans = spans.unionByName(again.select("d", "h", "start", (F.col("start") + kind.size).alias("end")))
-    all_ = copies.select("d", "h", F.lit(0).cast("long").alias("start"), F.lit(1 << 40).alias("end"))
+    whole = copies.where("later") if kind.marks == "later" else copies
+    found = found.unionByName(whole.select("d", "h", F.lit(0).cast("long").alias("start"), F.lit(WHOLE).alias("end")))
+    found = found if spans is None else found.unionByName(spans)
     del places, hits, several
-    marks = spans.unionByName(all_).groupBy("d", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return settle(marks), rows
+    return settle(found.groupBy("d", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
 
 
 def joined_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,27 +373,39 @@ def joined_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.nda
     return start[new], top[np.append(new[1:], len(top)) - 1]
 
 
-def with_spans(docs: DataFrame, kind: Kind, sort: Callable, cut: Callable, schema: str) -> DataFrame:
-    """A row per row of docs: doc_id and what cut(text bytes, starts, ends) gives: units, units removed, runs removed, what is left."""
-    marks, rows = repeated_spans(docs, kind, sort)
-    texts = rows.select("doc_id", "d", "h", text_of().alias("text"))
+def with_spans(texts_: Texts, marks: DataFrame, cut: Callable, doc_id: str, schema: str, types: list[pa.DataType]) -> DataFrame:
+    """A row per row of docs: doc_id (of that type) and what cut(text bytes, *spans) gives, the spans (starts, ends) of each further column of marks."""
+    lists = [c for c in marks.columns if c not in ("d", "h")]
+    names = [f.split()[0] for f in schema.split(", ")]
+    none = F.expr("array()").cast("array<struct<start:bigint,end:bigint>>")
+    texts = texts_.rows.select("doc_id", "d", "h", text_of().alias("text"))
     ids = small(marks.select(F.col("d").alias("kd"), F.col("h").alias("kh")))
-    plain = texts.join(ids, same(texts, ids), "left_anti").withColumn("spans", F.expr("array()").cast("array<struct<start:bigint,end:bigint>>"))
+    plain = texts.join(ids, same(texts, ids), "left_anti").withColumns({c: none for c in lists})
     cutup = texts.join(ids, same(texts, ids), "left_semi").join(marks, ["d", "h"])
-    kinds = docs.schema["doc_id"].dataType.simpleString()
-    names = [f.split()[0] for f in schema.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string() if kind.words else pa.binary()]
 
     def per_batch(batches):
         for batch in batches:
             data, offsets = A.column_bytes(batch.column("text"))
-            lists = batch.column("spans")
-            ends, start, end = lists.offsets.to_numpy(), *(lists.values.field(c).to_numpy() for c in ("start", "end"))
-            for a, b in A.slices(offsets, 1 << 23):
-                out = [cut(data[offsets[i] : offsets[i + 1]], start[ends[i] : ends[i + 1]], end[ends[i] : ends[i + 1]]) for i in range(a, b)]
+            own = []
+            for c in lists:
+                flat = batch.column(c).fill_null([]) if batch.column(c).null_count else batch.column(c)
+                own.append((flat.offsets.to_numpy(), *(flat.values.field(x).to_numpy() for x in ("start", "end"))))
+            for a, b in A.slices(offsets, 1 << 22):
+                out = [cut(data[offsets[i] : offsets[i + 1]], *[(s[n[i] : n[i + 1]], e[n[i] : n[i + 1]]) for n, s, e in own]) for i in range(a, b)]
                 columns = [batch.column("doc_id").slice(a, b - a), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]]
                 yield pa.record_batch(columns, ["doc_id", *names])
 
-    form = f"doc_id {kinds}, {schema}"
-    wanted = ["doc_id", "text", "spans"]
-    return plain.select(*wanted).mapInArrow(per_batch, form).unionByName(cutup.select(*wanted).mapInArrow(per_batch, form))
+    form, wanted = f"doc_id {doc_id}, {schema}", ["doc_id", "text", *lists]
+    return plain.select(*wanted).mapInArrow(A.tidy(per_batch), form).unionByName(cutup.select(*wanted).mapInArrow(A.tidy(per_batch), form))
+
+
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def clipped(spans: tuple[np.ndarray, np.ndarray], n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of the spans of a document of n units; a copy as a whole counts if it has a window at all."""
+    start, end = spans
+    whole = end > n
+    if whole.any() and n < window:
+        start, end = start[~whole], end[~whole]
+    return joined_spans(start, np.minimum(end, n)) if len(start) else (start, end)

@@ -1,19 +1,21 @@
 """Substring dedup of words: suffix trees over prefix partitions.
 
-Suffixes are taken at the anchors of windows (see repeats) and split by prefix: by the first eight words where that
-gives groups that fit in memory, and by the whole window for a prefix that is too frequent. The suffixes of a group
-are sorted into a suffix tree in array form: the depths shared by neighbours delimit its internal nodes, and a node as
-deep as a window's part to the right, together with one as deep as its part to the left, is a repeated window.
+Suffixes are taken at the anchors of windows (see repeats) and split by prefixes of variable length into groups that
+fit in memory: by eight words first, and for a prefix that is too frequent by ever more words from the start of each
+window, up to the whole of it. The suffixes of a group are sorted into suffix trees in array form, to either side of
+the anchor. Deep internal nodes are the maximal repeats: a node as deep as a window's part to the right, together with
+one as deep as its part to the left, is a repeated window.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from vaultframe.llm.common import read
-from vaultframe.llm.repeats import Kind, joined_spans, with_spans
+from vaultframe.llm.repeats import SPANS, Kind, Texts, clipped, repeated_spans, with_spans
 
 WINDOW, PREFIX = 20, 8
 
@@ -30,19 +32,18 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     Null and empty texts have no words. Equal rows are one document and get the same result; a null doc_id comes
     last; of rows with one doc_id and other texts the smaller hash of the text comes first. Other columns are ignored.
     """
-    kind = Kind(window, prefix, True, True, group or 0)
-    return with_spans(docs, kind, suffix_order, lambda t, s, e: _cut(window, t, s, e), "n_words bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept string")
+    texts = Texts.of(docs)
+    marks = repeated_spans(texts, Kind(window, prefix, True, "later", group or 0), suffix_order)
+    schema = "n_words bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept string"
+    return with_spans(texts, marks, lambda t, s: _cut(window, t, s), docs.schema["doc_id"].dataType.simpleString(), schema, [pa.int64(), pa.int64(), SPANS, pa.string()])
 
 
-def _cut(window: int, data: np.ndarray, start: np.ndarray, end: np.ndarray):
+def _cut(window: int, data: np.ndarray, spans: tuple[np.ndarray, np.ndarray]):
     words = data.tobytes().split()
     n = len(words)
-    whole = end > n  # marks a copy as a whole, which counts if it has a window at all
-    if whole.any() and n < window:
-        start, end = start[~whole], end[~whole]
-    if not len(start):
+    a, b = clipped(spans, n, window)
+    if not len(a):
         return n, 0, [], b" ".join(words).decode()
-    a, b = joined_spans(start, np.minimum(end, n))
     kept, at = [], 0
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
         kept += words[at:x]
