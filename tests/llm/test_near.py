@@ -1,6 +1,7 @@
 """Near-duplicates of texts and vectors against all pairs."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,15 +11,15 @@ from pyspark.sql import functions as F
 from vaultframe.llm import near_text, near_vectors
 
 
-def shingle_set(text):
+def shingle_weights(text):
     w = (text or "").encode().replace(b"\x0b", b" ").split()
-    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
 
 
 def classes(rows):
     """Least doc_id by (doc_id, text), from all pairs."""
     nodes = sorted({(key_of(i), t or "") for i, t in rows})
-    sets, up = [shingle_set(t) for _, t in nodes], list(range(len(nodes)))
+    sets, up = [shingle_weights(t) for _, t in nodes], list(range(len(nodes)))
 
     def find(x):
         while up[x] != x:
@@ -27,8 +28,8 @@ def classes(rows):
 
     for a in range(len(nodes)):
         for b in range(a):
-            both = len(sets[a] & sets[b])
-            if sets[a] and (sets[a] == sets[b] or both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9):
+            both = (sets[a] & sets[b]).total()
+            if sets[a] and (sets[a] == sets[b] or both >= 0.8 * (sets[a] | sets[b]).total() - 1e-9):
                 x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
     return {n: nodes[find(k)][0] for k, n in enumerate(nodes)}
@@ -59,6 +60,18 @@ def test_classes_equal_all_pairs(spark):
     assert kept.columns == docs.columns and len(nodes) == len(set(nodes)) == sum(k for _, k in seen.values())
 
 
+def test_weights_decide(spark):
+    """Alike as sets, unlike by weight: a line that is there once, and one that is there many times."""
+    r = random.Random(8)
+    line, rest = prose(r, 12), prose(r, 60)
+    texts = [f"{rest} {line}", f"{rest} " + " ".join([line] * 30), f"{rest} " + " ".join([line] * 29)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = classes(rows)
+    got = {(r["doc_id"]): r["class_id"] for r in near_text.near_duplicates(docs).collect()}
+    assert got == {i: want[i, t] for i, t in rows} == {0: 0, 1: 1, 2: 1}
+
+
 def test_no_documents(spark):
     docs, _ = documents(spark)
     assert near_text.near_duplicates(none_of(docs)).count() == 0 and near_text.one_of_each(none_of(docs)).count() == 0
@@ -105,7 +118,8 @@ def test_vectors_equal_all_pairs(spark):
     for a in range(n):
         least[find(a)] = min(least.get(find(a), key_of(None)), key_of(rows[a][0]))
     want = sorted((key_of(rows[a][0]), links[a], least[find(a)]) for a in range(n))
-    got = near_vectors.similar_vectors(df, tile=40).collect()
-    assert sorted((key_of(r["vec_id"]), r["n_links"], key_of(r["component_id"])) for r in got) == want
+    for tile, kind in ((40, "array<float>"), (7, "array<double>")):
+        got = near_vectors.similar_vectors(df.withColumn("embedding", F.col("embedding").cast(kind)), tile=tile).collect()
+        assert sorted((key_of(r["vec_id"]), r["n_links"], key_of(r["component_id"])) for r in got) == want
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
     assert sum(links) > 1000 and near_vectors.similar_vectors(none_of(df)).count() == 0

@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a small table that may be broadcast; beyond it, operators use a shuffled join instead.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes of a small table that may be broadcast; beyond either, operators use a shuffled join instead.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with checkpoint() in the folder that the cluster names in spark.checkpoint.dir.
 
-    A folder of our own is set only where the session names none (tests on one machine). Shuffle files that only
-    served what was cut are given up at once: Spark's cleaner removes those that garbage collection finds unused.
+    Only on one machine (a local master, as in tests) is a folder of our own set where the session names none. Shuffle
+    files that only served what was cut are given up at once: Spark's cleaner removes those that garbage collection
+    finds unused, and with spark.cleaner.referenceTracking.cleanCheckpoints the checkpoints that nothing reads any more.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     out = df.checkpoint()
     del df
@@ -28,9 +33,22 @@ def settle(df: DataFrame) -> DataFrame:
     return out
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if the (settled) table has at most `most` rows, else the table as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def _width(name: str, kind: T.DataType) -> Column:
+    """Bytes of a value, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(F.col(name)), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType)):
+            return F.aggregate(F.coalesce(F.col(name), F.array()), F.lit(0), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 16) + 16
+        return F.greatest(F.size(name), F.lit(0)) * 16 + 16
+    return F.lit(32 if isinstance(kind, T.StructType) else 16)
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint if the (settled) table has at most `most` rows and about `size` bytes, else the table as it is."""
+    width = sum((_width(f.name, f.dataType) for f in df.schema.fields), F.lit(0)).cast("long")
+    rows, held = df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most and held <= size else df
 
 
 def text_of(column: str = "text") -> Column:
@@ -57,8 +75,9 @@ def named(df: DataFrame, docs: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (u, v): one row (id, component) per node, component being its smallest id.
 
-    Alternating large-star and small-star steps, each a join with a pre-aggregated minimum, so that a
-    node with very many neighbours is never gathered in one task. Each round is checkpointed.
+    Alternating large-star and small-star steps. The least neighbour of each node is a map-side minimum and is settled
+    before the edges meet it: it is broadcast while it is small, and beyond that it is a plain shuffled table, so that
+    Spark can split the edges of a node with very many neighbours between tasks.
     """
     e = settle(
         edges.where("u <> v")
@@ -67,7 +86,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
     state = _mark(e)
     for _ in range(rounds):
-        e = settle(_small_star(_large_star(e)))
+        e = _small_star(_large_star(e))
         now = _mark(e)
         if now == state:
             break
@@ -82,24 +101,22 @@ def _mark(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
+def _least(e: DataFrame) -> DataFrame:
+    """(u, m): the least v of each u."""
+    return settle(e.groupBy("u").agg(F.min("v").alias("m")))
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return (
-        both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-    )
+    least = _least(both).select("u", F.least("u", "m").alias("m"))
+    out = both.where("v > u").join(small(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return settle(out.where("u <> v").distinct())
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return (
-        moved.unionByName(least.select("u", F.col("m").alias("v")))
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .where("u <> v")
-        .distinct()
-    )
+    least = _least(e)
+    moved = e.join(small(least), "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+    return settle(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

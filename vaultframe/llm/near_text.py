@@ -90,8 +90,8 @@ def _band_keys(signatures: np.ndarray, bands: int, width: int) -> np.ndarray:
     return A.signed(total)
 
 
-def signatures(docs: DataFrame, size: int, bands: int, width: int, counted: bool) -> DataFrame:
-    """doc_id, __h, c1, c2 (what the words are, as 128 bits), n (distinct shingles) and bands (bucket keys) of each row."""
+def signatures(docs: DataFrame, size: int, bands: int, width: int) -> DataFrame:
+    """doc_id, __h, c1, c2 (what the words are, as 128 bits), n (shingles, repeats counted) and bands (bucket keys) of each row."""
 
     def per_batch(batches):
         for batch in batches:
@@ -105,12 +105,11 @@ def signatures(docs: DataFrame, size: int, bands: int, width: int, counted: bool
                 for n, out in enumerate(whole):
                     np.add.at(out, row, A.mix(word + A.mix(nth.astype(np.uint64) + np.uint64(n << 40))))
                 h, r, count = A.distinct(*A.shingles(word, row, rows, size))
-                weight = count.astype(float) if counted else np.ones(len(h))
-                keys = _band_keys(dart_signatures(h, weight, r, rows, bands * width), bands, width)
+                keys = _band_keys(dart_signatures(h, count.astype(float), r, rows, bands * width), bands, width)
                 yield pa.record_batch(
                     [
                         batch.column("doc_id").slice(a, rows), batch.column("__h").slice(a, rows),
-                        *[pa.array(A.signed(x)) for x in whole], pa.array(np.bincount(r, minlength=rows)),
+                        *[pa.array(A.signed(x)) for x in whole], pa.array(np.bincount(r, count, rows).astype(np.int64)),
                         pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), bands).cast(pa.list_(pa.int64())),
                     ],
                     ["doc_id", "__h", "c1", "c2", "n", "bands"],
@@ -118,12 +117,12 @@ def signatures(docs: DataFrame, size: int, bands: int, width: int, counted: bool
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return row_key(docs.select("doc_id", "text")).mapInArrow(
-        per_batch, f"doc_id {kind}, __h bigint, c1 bigint, c2 bigint, n bigint, bands array<bigint>"
+        A.tidy(per_batch), f"doc_id {kind}, __h bigint, c1 bigint, c2 bigint, n bigint, bands array<bigint>"
     )
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """node and its distinct shingles, of rows that have a node."""
+    """node and its weighted shingles, of rows that have a node: a shingle of weight w is itself and w - 1 further elements."""
 
     def per_batch(batches):
         for batch in batches:
@@ -131,15 +130,18 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
             for a, b in A.slices(offsets):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 start, end, row = A.word_spans(part, at)
-                h, r, _ = A.distinct(*A.shingles(A.Rolling(part).of(start, end), row, b - a, size))
+                h, r, count = A.distinct(*A.shingles(A.Rolling(part).of(start, end), row, b - a, size))
+                nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                h, r = np.repeat(h, count), np.repeat(r, count)
+                h = np.where(nth > 0, A.mix(h + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), h)
                 yield pa.record_batch([batch.column("d").slice(a, b - a), batch.column("__h").slice(a, b - a), A.listed(A.signed(h), r, b - a)], ["d", "h", "own"])
 
-    found = docs.select("d", "__h", "text").mapInArrow(per_batch, "d bigint, h bigint, own array<bigint>")
+    found = docs.select("d", "__h", "text").mapInArrow(A.tidy(per_batch), "d bigint, h bigint, own array<bigint>")
     return found.select(F.struct("d", "h").alias("node"), "own")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have at least that Jaccard similarity."""
+    """The pairs (u, v) whose weighted shingles have at least that Jaccard similarity."""
     a = sets.select(F.col("node").alias("u"), F.col("own").alias("x"))
     b = sets.select(F.col("node").alias("v"), F.col("own").alias("y"))
     both = pairs.join(a, "u").join(b, "v").select("u", "v", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
@@ -147,17 +149,17 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, width: int = WIDTH, counted: bool = False, leaders: int = 2
+    docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, width: int = WIDTH, leaders: int = 2
 ) -> DataFrame:
     """One row per row of docs: doc_id, __h (hash of the text), class_id (least doc_id of its class) and kept.
 
-    Texts whose words are equal are one class; classes also join where the Jaccard similarity of shingle sets
-    reaches the threshold (counted=True weighs shingles by their number in the signatures; the check stays on sets).
+    Texts whose words are equal are one class; classes also join where the weighted Jaccard similarity of their
+    shingles reaches the threshold: a shingle weighs as often as it occurs, in the signatures and in the exact check.
     Texts without words (null, empty) are alone. A null doc_id comes after all others. Of rows with one doc_id and
     other texts each is a document; of equal rows each gets the same result. Other columns are ignored.
     """
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    rows = settle(signatures(docs, size, bands, width, counted))
+    rows = settle(signatures(docs, size, bands, width))
     one = (
         rows.where("n > 0").groupBy("c1", "c2")
         .agg(F.min(F.struct(d.alias("d"), F.col("__h").alias("h"))).alias("node"), F.first("bands").alias("bands"), F.first("n").alias("n"))
