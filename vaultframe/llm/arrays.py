@@ -48,15 +48,20 @@ def slices(offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
         a = min(b, n)
 
 
+def give_back() -> None:
+    """Memory that this process holds but no longer uses goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def tidy(per_batch: Callable) -> Callable:
-    """per_batch, after which a worker gives back memory that it holds but no longer uses: workers outlive their tasks."""
+    """per_batch, after which a worker gives back memory: workers outlive their tasks."""
 
     @wraps(per_batch)
     def run(batches):
         yield from per_batch(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        give_back()
 
     return run
 

@@ -75,9 +75,9 @@ def named(df: DataFrame, docs: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (u, v): one row (id, component) per node, component being its smallest id.
 
-    Alternating large-star and small-star steps. The least neighbour of each node is a map-side minimum and is settled
-    before the edges meet it: it is broadcast while it is small, and beyond that it is a plain shuffled table, so that
-    Spark can split the edges of a node with very many neighbours between tasks.
+    Alternating large-star and small-star steps, each round one job with one checkpoint. The least neighbour of each
+    node is a map-side minimum and is dealt anew before the edges meet it, so that both sides of the join are plain
+    shuffles and Spark can split the edges of a node with very many neighbours between tasks.
     """
     e = settle(
         edges.where("u <> v")
@@ -86,7 +86,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
     state = _mark(e)
     for _ in range(rounds):
-        e = _small_star(_large_star(e))
+        e = settle(_small_star(_large_star(e)))
         now = _mark(e)
         if now == state:
             break
@@ -102,21 +102,21 @@ def _mark(e: DataFrame) -> tuple:
 
 
 def _least(e: DataFrame) -> DataFrame:
-    """(u, m): the least v of each u."""
-    return settle(e.groupBy("u").agg(F.min("v").alias("m")))
+    """(u, m): the least v of each u, dealt evenly."""
+    return e.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _least(both).select("u", F.least("u", "m").alias("m"))
-    out = both.where("v > u").join(small(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return settle(out.where("u <> v").distinct())
+    out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return out.where("u <> v").distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     least = _least(e)
-    moved = e.join(small(least), "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-    return settle(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+    moved = e.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -171,7 +171,10 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network
     if len(set(y.tolist())) < 2:
         net.p["v"][:] = 0
         return net
-    return net.fit([bytes(t) for t in rows["chunks"]], y)
+    net.fit([bytes(t) for t in rows["chunks"]], y)
+    del rows
+    A.give_back()
+    return net
 
 
 def scored(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
@@ -183,7 +186,7 @@ def scored(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
             data, offsets = A.column_bytes(batch.column(text))
             yield pa.record_batch([*batch.columns, pa.array(net.scores(data, offsets))], [*batch.schema.names, "__score"])
 
-    return docs.mapInArrow(per_batch, f"{kinds}, `__score` double")
+    return docs.mapInArrow(A.tidy(per_batch), f"{kinds}, `__score` double")
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
