@@ -110,9 +110,11 @@ def test_exclusions_reach_below(spark):
 
 
 def test_reachable_and_order(spark):
-    nodes = spark.createDataFrame([("r", None, ""), ("a", "r", "a"), ("b", "a", "B"), ("c", "b", "c"), ("lost", "gone", "x"), ("loop", "loop", "y")], "node string, parent string, name string")
-    got = {r["node"]: r["path"] for r in tree.reachable(nodes, rounds=5).collect()}
+    nodes = spark.createDataFrame([("r", None, ""), ("a", "r", "a"), ("b", "a", "B"), ("c", "b", "c"), ("lost", "gone", "x"), ("loop", "loop", "y"), ("x", "y", "x"), ("y", "x", "y"), ("z", "x", "z")], "node string, parent string, name string")
+    got = {r["node"]: r["path"] for r in tree.reachable(nodes).collect()}
     assert got == {"r": "/", "a": "/a", "b": "/a/B", "c": "/a/B/c"}
+    deep = spark.createDataFrame([(i, i - 1 if i else None, str(i)) for i in range(40)], "node long, parent long, name string")
+    assert {r["node"]: r["path"] for r in tree.reachable(deep).collect()}[39] == "".join(f"/{i}" for i in range(1, 40))
     p = spark.createDataFrame([("/b",), ("/A",), ("/a",), ("/b/z",)], "path string")
     assert [r["path"] for r in tree.preorder(p).orderBy("walk").collect()] == ["/A", "/a", "/b", "/b/z"]
 

@@ -110,7 +110,10 @@ def _numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """Rows numbered from 0 in order, by counts of range partitions rather than in one task."""
     from pyspark.sql import Window
 
-    parts = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
+    from vaultframe.operators.settling import settle
+
+    # Settled, so that both uses see the same ranges.
+    parts = settle(df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()))
     sizes = parts.groupBy("__p").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__before")
     own = Window.partitionBy("__p").orderBy(order)

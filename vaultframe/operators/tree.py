@@ -50,15 +50,19 @@ def visible(entries: DataFrame) -> DataFrame:
 def reachable(nodes: DataFrame, rounds: int = 64) -> DataFrame:
     """Nodes (node, parent, name) with their paths; nodes not below a root (null parent) are dropped.
 
-    The paths of all nodes double in reach with each round, so a tree of depth d takes log2(d) joins.
+    The paths of all nodes double in reach with each round, so a tree of depth d takes log2(d) joins. A round in which no
+    node comes to its root leaves only nodes on or below a circle: those are dropped.
     """
     from vaultframe.operators.settling import settle
 
     state = settle(nodes.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), "").otherwise(F.concat(F.lit("/"), F.col("name"))).alias("path")))
+    left = None
     for _ in range(rounds):
         open_ = state.where("up is not null")
-        if open_.isEmpty():
+        count = open_.count()
+        if count in (0, left):
             break
+        left = count
         above = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("head"))
         moved = open_.join(above, "up").select("node", F.col("up2").alias("up"), F.concat("head", "path").alias("path"))
         state = settle(moved.unionByName(state.where("up is null")))
