@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vaultframe import functions as fn
 from vaultframe.errors import ArchiveError
-from vaultframe.operators import blobs, images, layout, mutate, select, tree, verify
+from vaultframe.operators import blobs, images, layout, lookup, mutate, properties, select, tree, verify
 from vaultframe.plans import Archive
 from vaultframe.sources import files
 
@@ -165,3 +165,59 @@ def test_archive_value(spark):
     content = spark.createDataFrame([("h1", bytearray(b"x"))], "hash string, bytes binary")
     assert [(r["fault"], r["hash"]) for r in both.verify(content).collect()] == [("corrupt", "h1")]
     assert blobs.missing_in(b.blobs, a.blobs).first()["hash"] == "h2"
+
+
+def test_exclusion_lines():
+    for bad in ("[ExclusionList", "[ExclusionList]\nC:x", "[ExclusionList]\nx\n[Other\n"):
+        with pytest.raises(ArchiveError):
+            files.exclusion_rules(bad)
+    assert files.exclusion_rules("") == ([], [])
+    assert files.exclusion_rules("x\n[exclusionlist]\r\n\n \"\\a b\\c\" \r\n# no\n'open\n[EXCLUSIONLIST]\nd:/e\\\\f") == (["/a b/c", "'open", "/e/f"], [])
+
+
+def test_image_lists(spark):
+    kind = "image string, description string, digest string"
+    target, source = spark.createDataFrame([("a", "d", "1")], kind), spark.createDataFrame([("b", "e", "2")], kind)
+    both, left = images.exported_images(target, source, no_descriptions=True, gift=True)
+    assert sorted(map(tuple, both.collect())) == [("a", "d", "1"), ("b", "", "2")] and left.count() == 0
+    for code, more in ((87, ("c", "", "1")), (11, ("a", "", "3"))):
+        with pytest.raises(ArchiveError) as caught:
+            images.exported_images(target, spark.createDataFrame([more], kind))
+        assert caught.value.code == code
+    known = spark.createDataFrame([(1, "a"), (2, "b")], "image_id int, image string")
+    assert [tuple(r) for r in properties.with_name(known, 2, "").orderBy("image_id").collect()] == [(1, "a"), (2, "")]
+    for code, call in ((11, lambda: properties.with_name(known, 2, "a")), (18, lambda: properties.with_name(known, 3, "c"))):
+        with pytest.raises(ArchiveError) as caught:
+            call()
+        assert caught.value.code == code
+
+
+def test_set_property_follows_what_is_there(spark):
+    held = spark.createDataFrame([("1", "A/B", "x")], "image string, path string, value string")
+    assert sorted(r["path"] for r in mutate.with_property(held, "1", "A/B[2]", "y").collect()) == ["A/B", "A/B[2]"]
+    assert mutate.with_property(held, "1", "A/B", "").count() == 0
+    with pytest.raises(ArchiveError):
+        mutate.with_property(held, "1", "A/B[3]", "y")
+
+
+def test_changes_while_captured(spark):
+    before = spark.createDataFrame([("/a", "1", 1), ("/b", "2", 2)], "path string, hash string, size long")
+    assert verify.concurrent_changes(before, before, strict=True).count() == 0
+    with pytest.raises(ArchiveError) as caught:
+        verify.concurrent_changes(before, before.where("path = '/a'"), strict=True)
+    assert caught.value.code == 88
+
+
+def test_referenced_tables(spark, tmp_path):
+    spark.createDataFrame([("h", 3)], "hash string, size long").write.parquet(str(tmp_path / "x1"))
+    assert files.referenced_tables(spark, str(tmp_path / "x*")).count() == 1
+    assert files.referenced_tables(spark, str(tmp_path / "y*")).count() == 0
+    with pytest.raises(ArchiveError) as caught:
+        files.referenced_tables(spark, str(tmp_path / "y*"), need_match=True)
+    assert caught.value.code == 8
+
+
+def test_lookup_without_rows(spark):
+    rows = spark.createDataFrame([], "row long, hash string, size long, flags long, part long, offset long, stored long")
+    sizes = spark.createDataFrame([], "row long, resource_size long")
+    assert lookup.data_rows(rows).count() == lookup.solid_rows(rows, sizes).count() == lookup.metadata_rows(rows, 3).count() == lookup.faults(rows).count() == 0

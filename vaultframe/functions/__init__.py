@@ -146,3 +146,18 @@ def xml_unescape(text: Column) -> Column:
 def next_report(done: Column, total: Column) -> Column:
     """Bytes at which progress is reported next: a hundredth on, at most 1 GiB on, at most the total."""
     return F.least(done + F.floor(total / 100), done + F.lit(1 << 30), total)
+
+
+def property_of(xml: Column, path: str) -> Column:
+    """First text at a property path A/B[2]/C (the n-th child of a name, from 1) below the document's element; null if there is none."""
+    return F.nullif(F.xpath_string(xml, F.lit("/*/" + path)), F.lit(""))
+
+
+def tagged_item(items: Column, tag: int, least: int = 0) -> Column:
+    """The first of items (array of tag, data) with that tag and at least so many bytes; null if there is none."""
+    return F.get(F.filter(items, lambda x: (x["tag"] == tag) & (F.octet_length(x["data"]) >= least)), F.lit(0))
+
+
+def equal_within(a: Column, b: Column, most: int = 0) -> Column:
+    """Both are null, or they differ by at most `most` (clocks of coarser file systems)."""
+    return F.coalesce(F.abs(a - b) <= most, a.isNull() & b.isNull())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultframe.errors import ArchiveError
-from vaultframe.functions import has_bits, DIRECTORY
+from vaultframe.functions import DIRECTORY, equal_within, has_bits
 
 
 def folders(entries: DataFrame) -> DataFrame:
@@ -90,15 +90,44 @@ def overlay(layers: DataFrame, replace: bool = True) -> tuple[DataFrame, DataFra
     return by_path.where(~clash).select("path", "top.*"), by_path.where(clash).select("path", F.when(F.col("some_file") != F.col("some_dir"), "directory and file").otherwise("not replaced").alias("clash"))
 
 
-def difference(a: DataFrame, b: DataFrame, on: list[str], compared: list[str]) -> DataFrame:
-    """Rows that differ between two trees: only in one, or with other values in the compared columns."""
+def difference(a: DataFrame, b: DataFrame, on: list[str], compared: list[str], within: dict[str, int] | None = None, ignored_bits: int = 0) -> DataFrame:
+    """Rows that differ between two trees: only in one, or with other values in the compared columns.
+
+    within allows columns (times) to differ by so much; ignored_bits are bits of `attributes` that do not count.
+    """
+    within = within or {}
     left = a.select(*on, F.struct(*compared).alias("x"))
     right = b.select(*on, F.struct(*compared).alias("y"))
     both = left.join(right, on, "full")
-    kind: Column = F.when(F.col("y").isNull(), "only_first").when(F.col("x").isNull(), "only_second").when(~F.col("x").eqNullSafe(F.col("y")), "changed")
+
+    def same(c: str) -> Column:
+        x, y = F.col("x")[c], F.col("y")[c]
+        if c in within:
+            return equal_within(x, y, within[c])
+        if c == "attributes" and ignored_bits:
+            return x.bitwiseAND(~ignored_bits).eqNullSafe(y.bitwiseAND(~ignored_bits))
+        return x.eqNullSafe(y)
+
+    alike = reduce(Column.__and__, [same(c) for c in compared])
+    kind: Column = F.when(F.col("y").isNull(), "only_first").when(F.col("x").isNull(), "only_second").when(~alike, "changed")
     return both.select(*on, kind.alias("kind")).where("kind is not null")
 
 
+def exported_images(target: DataFrame, source: DataFrame, no_names: bool = False, no_descriptions: bool = False, gift: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(target, source) after all images (image, description, digest) of source were added to target, in lists of images.
+
+    Names and descriptions may be left behind; as a gift the source has none left. An image that target has (by the
+    digest of its metadata) is refused, and so is a name on both sides.
+    """
+    if (twin := source.join(target.select("digest"), "digest").first()) is not None:
+        raise ArchiveError("duplicate_exported_image", twin["digest"])
+    moved = source.withColumn("image", F.lit("")) if no_names else source
+    moved = moved.withColumn("description", F.lit("")) if no_descriptions else moved
+    if (clash := moved.where("image <> ''").join(target.select("image"), "image").first()) is not None:
+        raise ArchiveError("image_name_collision", clash["image"])
+    return target.unionByName(moved), source.where(F.lit(False)) if gift else source
+
+
 def remapped_descriptors(descriptors: DataFrame) -> DataFrame:
     """image, sd_id and new_id: equal descriptors (bytes) of all images share one number, by the order of their bytes."""
     return descriptors.join(

@@ -50,6 +50,17 @@ def ambiguous(entries: DataFrame) -> DataFrame:
     return entries.groupBy("image", F.upper("path").alias("folded")).agg(F.count_distinct("path").alias("names")).where("names > 1")
 
 
+def ambiguous_on_the_way(wanted: DataFrame, entries: DataFrame) -> DataFrame:
+    """wanted(path) whose lookup without case meets two entries at some level: path and the folded prefix where it does first.
+
+    entries(path) hold each directory; paths meet the levels by their own folded prefixes, an equi-join.
+    """
+    level = entries.groupBy(F.upper("path").alias("prefix")).agg(F.count_distinct("path").alias("names")).where("names > 1").select("prefix")
+    steps = F.split(F.upper("path"), "/")
+    own = wanted.select("path", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(steps), F.lit(2))), lambda i: F.array_join(F.slice(steps, 1, i), "/"))).alias("prefix"))
+    return own.join(level, "prefix").groupBy("path").agg(F.min_by("prefix", F.length("prefix")).alias("prefix"))
+
+
 def glob_matches(entries: DataFrame, globs: list[str], ignore_case: bool = False, need_match: bool = False) -> DataFrame:
     """Entries whose path matches one of the globs, wildcards staying within a component."""
     if not globs:

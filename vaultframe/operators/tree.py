@@ -34,6 +34,25 @@ def hardlink_groups(entries: DataFrame) -> DataFrame:
     return entries.join(first, ["image", "inode", "hash"]).select("image", "path", "canonical", "names")
 
 
+def canonical_counts(entries: DataFrame, streams: DataFrame) -> DataFrame:
+    """hash and refs: each entry counts the contents of its canonical inode, so that an alias counts once more.
+
+    entries(image, path, node, group_id, hash, is_dir), streams(image, node, hash) with a row per stream. Entries of one
+    group (0 is none) and content are one inode, whose canonical entry is the first of the walk; directories never are.
+    """
+    grouped = (F.col("group_id") != 0) & ~F.col("is_dir")
+    single = entries.where(~grouped).select("image", "node", F.lit(1).cast("long").alias("names"))
+    walk = preorder(entries.where(grouped).select("image", "path", "node", "group_id", "hash"))
+    linked = walk.groupBy("image", "group_id", "hash").agg(F.min_by("node", "walk").alias("node"), F.count("*").alias("names")).select("image", "node", "names")
+    held = streams.where("hash is not null").select("image", "node", "hash")
+    return single.unionByName(linked).join(held, ["image", "node"]).groupBy("hash").agg(F.sum("names").alias("refs"))
+
+
+def with_descriptors(entries: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """entries(image, sd_id, ...) with the bytes of their security descriptor; an id that its image does not have gives null."""
+    return entries.join(descriptors.select("image", "sd_id", F.col("bytes").alias("descriptor")), ["image", "sd_id"], "left")
+
+
 def preorder(entries: DataFrame) -> DataFrame:
     """Entries with the sort key of a depth-first walk whose siblings are in collation order (upper case, then as they are)."""
     steps = F.split(F.trim(F.col("path"), F.lit("/")), "/")

@@ -86,3 +86,12 @@ def manifest_faults(nodes: DataFrame) -> DataFrame:
     alias = nodes.where("file_id is not null").groupBy("file_id").agg(F.count_distinct(F.struct("content", "encrypted")).alias("n"), F.max("node").alias("node")).where("n > 1").select(F.lit("alias_streams").alias("rule"), "node")
     hidden = nodes.where("encrypted").select(F.lit("encrypted").alias("rule"), "node")
     return siblings.unionByName(order).unionByName(alias).unionByName(hidden)
+
+
+def concurrent_changes(captured: DataFrame, now: DataFrame, strict: bool = False) -> DataFrame:
+    """Captured files (path, hash, size) that are gone or hold something else by now; refused if strict."""
+    seen = now.select("path", F.col("hash").alias("hash_now"), F.col("size").alias("size_now"))
+    changed = captured.select("path", "hash", "size").join(seen, "path", "left").where(~(F.col("hash").eqNullSafe(F.col("hash_now")) & F.col("size").eqNullSafe(F.col("size_now"))))
+    if strict and (bad := changed.first()) is not None:
+        raise ArchiveError("concurrent_modification", bad["path"])
+    return changed

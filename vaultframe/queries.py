@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultframe import functions as fn
-from vaultframe.operators import blobs, images, layout, mutate, select, tree, verify
+from vaultframe.operators import blobs, images, layout, lookup, mutate, properties, select, tree, verify
 from vaultframe.sources import adapters as src
 from vaultframe.sources import files
 
@@ -142,13 +142,14 @@ def join_parts(spark, d):
     return images.joined_parts(heads, [docs.where(F.col("inode") % 3 + 1 == h["part_number"]).select("hash", "path", "size") for h in heads])
 
 
-_LAYER = "select doc_id % 4 as layer, '/' || (doc_id % 97) as path, doc_id % 97 < 5 and doc_id % 4 = 1 as is_dir, doc_id from (select * from documents)"
+_LAYER = "select doc_id % 4 as layer, '/' || (doc_id // 4) as path, doc_id // 4 % 20 = 0 and doc_id % 4 = 1 as is_dir, doc_id from (select * from documents)"
 
 
 def _layers(spark, d):
-    i = F.col("doc_id")
+    """Four layers over paths that grow in number with the documents; one path in twenty is a directory in one layer and a file in the others."""
+    i, place = F.col("doc_id"), F.floor(F.col("doc_id") / 4)
     docs = src.table(spark, d, "documents")
-    return docs.select((i % 4).alias("layer"), F.concat(F.lit("/"), (i % 97).cast("string")).alias("path"), ((i % 97 < 5) & (i % 4 == 1)).alias("is_dir"), "doc_id")
+    return docs.select((i % 4).alias("layer"), F.concat(F.lit("/"), place.cast("string")).alias("path"), ((place % 20 == 0) & (i % 4 == 1)).alias("is_dir"), "doc_id")
 
 
 @query(f"with l as ({_LAYER}), c as (select path from l group by 1 having min(is_dir) = max(is_dir)) select path, layer, is_dir, doc_id from (select *, row_number() over (partition by path order by layer desc, is_dir desc, doc_id desc) as n from l where path in (select path from c)) where n = 1")
@@ -293,6 +294,15 @@ def solid_names(spark, d):
     return layout.solid_order(_docs(spark, d)).select("hash", "first_path", "name")
 
 
+@query("select p_partkey as hash, row_number() over (order by p_size % 4 > 0, case when p_size % 4 = 2 then upper(p_brand) else '' end, case when p_size % 4 > 0 then upper(p_name || case when p_size % 4 = 2 then '.' || p_brand else '' end) else '' end, p_partkey) as position from (select p_partkey, p_name, p_brand, case when p_size % 4 = 2 then 2 when p_size % 4 > 0 then 1 else 0 end as p_size from part)")
+def solid_positions(spark, d):
+    has = F.col("p_size") % 4
+    name = F.when(has == 2, F.concat("p_name", F.lit("."), "p_brand")).when(has > 0, F.col("p_name")).otherwise("")
+    rows = src.table(spark, d, "part").select(F.col("p_partkey").alias("hash"), name.alias("name"), F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("path"))
+    ordered = layout.solid_order(rows).withColumn("one", F.lit(1).cast("long"))
+    return layout.running_offsets(ordered, ["key"], "one").select("hash", (F.col("offset") + 1).alias("position"))
+
+
 @query(
     f"""with recursive b as (select *, row_number() over (order by first) as n from {_BLOB}),
     w as (select n, hash, size, first, size as held, 1::bigint as part from b where n = 1 union all
@@ -413,10 +423,15 @@ def update_batch(spark, d):
     return mutate.updated(e, [("delete", "/de", {"recursive": True}), ("rename", "/fr", "/x"), ("add", e.where("path like '/es/%'"), "/new")]).select("path", "inode")
 
 
-@query("select event_type as image, user_id::varchar as path, max(json_extract_string(props, '$.k')::bigint) as value from events group by 1, 2")
+@query("select s_suppkey, s_name || ' & <co>' as name, s_nationkey::bigint as nation, case when s_suppkey % 3 = 0 then 'x' || s_suppkey end as second from supplier")
 def property_lookup(spark, d):
-    e = src.table(spark, d, "events")
-    return e.groupBy(F.col("event_type").alias("image"), F.col("user_id").cast("string").alias("path")).agg(F.max(fn.number_of(F.get_json_object("props", "$.k"))).alias("value"))
+    part = lambda tag, x: F.concat(F.lit(f"<{tag}>"), x, F.lit(f"</{tag}>"))
+    text = lambda c: F.col(c).cast("string")
+    places = F.concat(part("P", text("s_nationkey")), F.when(F.col("s_suppkey") % 3 == 0, part("P", F.concat(F.lit("x"), text("s_suppkey")))).otherwise(F.lit("")))
+    xml = part("IMAGE", F.concat(part("NAME", fn.xml_escape(F.concat("s_name", F.lit(" & <co>")))), part("PLACES", places)))
+    return src.table(spark, d, "supplier").select(
+        "s_suppkey", fn.property_of(xml, "NAME").alias("name"), fn.number_of(fn.property_of(xml, "PLACES/P")).alias("nation"), fn.property_of(xml, "PLACES/P[2]").alias("second")
+    )
 
 
 @query("select o_orderkey, (epoch_us(o_orderdate) + 11644473600000000) * 10 as ticks, o_orderdate as at from orders")
@@ -452,3 +467,195 @@ def stream_kinds(spark, d):
     k = F.col("inode") % 3
     s = s.select("inode", "slot", F.when(F.col("stream") == "assistant", "answer").otherwise("").alias("stream"), "hash", F.when(k == 0, 0x4000).when(k == 1, 0x400).otherwise(0x20).cast("long").alias("attributes"))
     return tree.preferred_stream_kinds(s).select("inode", "slot", "kind")
+
+
+_NODE = "select o_orderstatus as image, '/' || o_orderpriority || '/' || o_orderkey || '/' || l_linenumber as path, o_orderkey * 10 + l_linenumber as node, l_partkey % 40 as group_id, sha1((l_quantity::bigint)::varchar) as hash, l_linenumber = 7 as is_dir from lineitem join orders on l_orderkey = o_orderkey"
+
+
+@query(
+    f"""with e as ({_NODE}), s as (select image, node, hash from e union all select image, node, sha1('named' || (node % 5)) from e where node % 2 = 0),
+    c as (select *, case when group_id <> 0 and not is_dir then first_value(node) over (partition by image, group_id, hash, is_dir order by string_split(upper(path), '/')) else node end as own from e)
+    select s.hash, count(*) as refs from c join s on c.image = s.image and c.own = s.node group by 1"""
+)
+def canonical_counts(spark, d):
+    k = F.col("l_partkey")
+    lines = src.table(spark, d, "lineitem").join(src.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    e = lines.select(
+        F.col("o_orderstatus").alias("image"), F.concat_ws("/", F.lit(""), "o_orderpriority", F.col("o_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("path"),
+        (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("node"), (k % 40).alias("group_id"), F.sha1(F.col("l_quantity").cast("long").cast("string").cast("binary")).alias("hash"), (F.col("l_linenumber") == 7).alias("is_dir"),
+    )
+    named = e.where("node % 2 = 0").select("image", "node", F.sha1(F.concat(F.lit("named"), (F.col("node") % 5).cast("string")).cast("binary")).alias("hash"))
+    return tree.canonical_counts(e, e.select("image", "node", "hash").unionByName(named))
+
+
+_RECORD = "select doc_id as row, case when doc_id % 17 = 5 then null else sha1(coalesce(text, '')) end as hash, case when doc_id % 20 in (0, 3) then 4294967296 when doc_id % 13 = 2 then 0 else octet_length(encode(coalesce(text, '')))::bigint end as size, case when doc_id % 20 < 6 then 16 when doc_id % 50 = 19 then 2 else 0 end::bigint as flags, 1 + (doc_id % 30 = 29)::bigint as part, (doc_id % 20 - 1) * 450 as \"offset\" from documents"
+
+
+def _records(spark, d):
+    i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    size = F.when((i % 20).isin(0, 3), lookup.MARKER).when(i % 13 == 2, 0).otherwise(fn.content_size(text)).cast("long")
+    return src.table(spark, d, "documents").select(
+        i.alias("row"), F.when(i % 17 != 5, fn.content_hash(text)).alias("hash"), size.alias("size"),
+        F.when(i % 20 < 6, lookup.SOLID).when(i % 50 == 19, lookup.METADATA).otherwise(0).cast("long").alias("flags"), (1 + (i % 30 == 29).cast("long")).alias("part"), ((i % 20 - 1) * 450).alias("offset"),
+    )
+
+
+@query(f"select hash, row, size, flags from (select *, row_number() over (partition by hash order by row) as n from ({_RECORD}) where hash is not null and size > 0 and part = 1 and flags <> 2 and size <> 4294967296) where n = 1")
+def lookup_contents(spark, d):
+    return lookup.data_rows(_records(spark, d)).select("hash", "row", "size", "flags")
+
+
+@query(f"select row, row_number() over (order by row) as image_id from ({_RECORD}) where flags = 2 order by row limit 9")
+def lookup_images(spark, d):
+    return lookup.metadata_rows(_records(spark, d), 9).select("row", "image_id")
+
+
+@query(f"select row, size, case when \"offset\" < 1000 then row // 20 * 20 else row // 20 * 20 + 3 end as resource, \"offset\" % 1000 as \"inner\" from ({_RECORD}) where flags = 16 and size <> 4294967296")
+def lookup_solid(spark, d):
+    rows = _records(spark, d)
+    sizes = rows.where(F.col("size") == lookup.MARKER).select("row", F.lit(1000).cast("long").alias("resource_size"))
+    return lookup.solid_rows(rows, sizes).select("row", "size", "resource", "inner")
+
+
+@query("select o_orderkey, o_orderkey % 7 = 3 as refused from orders where o_orderkey % 7 = 3 and o_orderkey % 3 > 0")
+def lookup_faults(spark, d):
+    i = F.col("o_orderkey")
+    rows = src.table(spark, d, "orders").select("o_orderkey", F.lit(100).alias("size"), F.when(i % 7 == 3, 99).otherwise(100).alias("stored"), F.when(i % 3 == 0, lookup.COMPRESSED).otherwise(0).cast("long").alias("flags"))
+    return lookup.faults(rows).select("o_orderkey", (F.col("stored") != F.col("size")).alias("refused"))
+
+
+@query("select p_partkey, case when p_size = 1 then 'invalid_header' when p_size = 2 then 'unknown_version' when p_size = 3 then 'invalid_part_number' when p_size = 4 then 'not_an_archive' end as fault, case when p_size <> 4 then p_partkey % 30 end as image_count, case when p_size = 4 then '00' when p_partkey % 2 = 0 then '574C50574D000000' else '4D5357494D000000' end as magic from part")
+def header_records(spark, d):
+    i, n = F.col("p_partkey"), F.col("p_size")
+    h = src.table(spark, d, "part").select(
+        "p_partkey", "p_size", F.when(n == 1, 100).otherwise(files.HEADER).alias("header_size"), F.when(n == 2, 1).otherwise(files.VERSIONS[0]).alias("version"), F.lit(2).alias("flags"),
+        F.lit(1 << 15).alias("chunk_size"), F.when(n == 3, 4).otherwise(2).alias("part_number"), F.lit(3).alias("total_parts"), (i % 30).alias("image_count"), F.md5(i.cast("string").cast("binary")).alias("guid"),
+    )
+    whole = files.encoded_header(h, i % 2 == 0)
+    # A sequential archive begins with a header that is not complete and ends with one that is.
+    content = F.when(n == 4, F.unhex(F.lit("00"))).when(i % 2 == 0, F.concat(F.substring(whole, 1, 8), F.unhex(F.lit("00" * 300)), whole)).otherwise(F.concat(whole, F.unhex(F.lit("00" * 50))))
+    return files.header_rows(h.select(i.alias("path"), content.alias("content"))).select(F.col("path").alias("p_partkey"), "fault", "image_count", "magic")
+
+
+@query("select 'n' || n_nationkey as id, r.step || '/' || 'NATION' || case when row_number() over (partition by n_regionkey order by n_nationkey) > 1 then '[' || row_number() over (partition by n_regionkey order by n_nationkey) || ']' else '' end as path, n_name as value from nation join (select r_regionkey, 'REGION' || case when r_regionkey > 0 then '[' || (r_regionkey + 1) || ']' else '' end as step from region) r on r_regionkey = n_regionkey")
+def property_tree(spark, d):
+    return properties.property_paths(_elements(spark, d)).where("tag = 'NATION'").select("id", "path", "value")
+
+
+def _elements(spark, d):
+    key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    r, n = src.table(spark, d, "region"), src.table(spark, d, "nation")
+    root = spark.createDataFrame([("root", None, 0, "WIM", None)], "id string, parent string, ordinal int, tag string, value string")
+    regions = r.select(key("r", "r_regionkey").alias("id"), F.lit("root").alias("parent"), F.col("r_regionkey").cast("int").alias("ordinal"), F.lit("REGION").alias("tag"), F.col("r_name").alias("value"))
+    return root.unionByName(regions).unionByName(n.select(key("n", "n_nationkey").alias("id"), key("r", "n_regionkey").alias("parent"), F.col("n_nationkey").alias("ordinal"), F.lit("NATION").alias("tag"), F.col("n_name").alias("value")))
+
+
+@query("select 'r' || n_regionkey as parent, row_number() over (partition by n_regionkey order by n_nationkey) as position, 'NATION' as tag, n_name as value from nation union all select 'root', r_regionkey + 1, 'REGION', r_name from region")
+def child_elements(spark, d):
+    return properties.children(_elements(spark, d))
+
+
+@query("select c_nationkey::varchar as image, 'NAME' as path, c_name as value from customer where c_custkey % 2 = 0 and c_nationkey <> 3 union all select '3', 'NAME', 'new'")
+def set_property(spark, d):
+    held = src.table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_nationkey").cast("string").alias("image"), F.lit("NAME").alias("path"), F.col("c_name").alias("value"))
+    return mutate.with_property(held, "3", "NAME", "new")
+
+
+@query("select r_regionkey + 1 as image_id, case when r_name = 'ASIA' then 'ORIENT' else r_name end as image from region")
+def set_name(spark, d):
+    regions = src.table(spark, d, "region").select((F.col("r_regionkey") + 1).alias("image_id"), F.col("r_name").alias("image"))
+    return properties.with_name(regions, regions.where("image = 'ASIA'").first()["image_id"], "ORIENT")
+
+
+@query("select case when n_regionkey = 0 then n_name else '' end as image, 'd' || n_nationkey as description, sha1(n_name) as digest from nation")
+def export_without_names(spark, d):
+    n = src.table(spark, d, "nation").select("n_regionkey", F.col("n_name").alias("image"), F.concat(F.lit("d"), F.col("n_nationkey").cast("string")).alias("description"), F.sha1(F.col("n_name").cast("binary")).alias("digest"))
+    return images.exported_images(n.where("n_regionkey = 0").drop("n_regionkey"), n.where("n_regionkey <> 0").drop("n_regionkey"), no_names=True, gift=True)[0]
+
+
+@query("select o_orderkey, 'changed' as kind from orders where o_orderkey % 5 = 4 or o_orderkey % 3 = 2")
+def diff_within(spark, d):
+    i = F.col("o_orderkey")
+    a = src.table(spark, d, "orders").select("o_orderkey", F.lit(0x20).cast("long").alias("attributes"), i.alias("written"))
+    b = a.select("o_orderkey", F.when(i % 3 == 2, 0x24).when(i % 3 == 1, 0xA0).otherwise(0x20).cast("long").alias("attributes"), (i + i % 5).alias("written"))
+    return images.difference(a, b, ["o_orderkey"], ["attributes", "written"], {"written": 3}, ignored_bits=0x80)
+
+
+@query("select c_nationkey as image, c_custkey % 70 as sd_id, c_custkey, case when c_custkey % 70 < 50 then 'sd' || (c_custkey % 70) end as descriptor from customer")
+def entry_descriptors(spark, d):
+    c = src.table(spark, d, "customer")
+    e = c.select(F.col("c_nationkey").alias("image"), (F.col("c_custkey") % 70).alias("sd_id"), "c_custkey")
+    held = e.where("sd_id < 50").select("image", "sd_id", F.concat(F.lit("sd"), F.col("sd_id").cast("string")).alias("bytes")).distinct()
+    return tree.with_descriptors(e, held)
+
+
+@query("select o_orderkey, case when o_orderkey % 4 > 0 then repeat('x', (o_orderkey % 9)::int + 4) end as data from orders")
+def tagged_items(spark, d):
+    i = F.col("o_orderkey")
+    item = lambda tag, data: F.struct(F.lit(tag).alias("tag"), data.alias("data"))
+    items = F.array(item(1, F.lit("abcdefgh")), item(2, F.lit("abc")), item(2, F.when(i % 4 > 0, F.repeat(F.lit("x"), (i % 9).cast("int") + 4)).otherwise("x")), item(2, F.when(i % 4 > 0, F.lit("last one")).otherwise("y")))
+    return src.table(spark, d, "orders").select("o_orderkey", fn.tagged_item(items, 2, 4)["data"].alias("data"))
+
+
+@query(f"select path, '/EN' as prefix from (select distinct path from ({_DOC})) where path like '/en/%'")
+def ambiguous_levels(spark, d):
+    docs = _docs(spark, d).select("path")
+    levels = docs.unionByName(images.folders(_docs(spark, d)).select("path")).unionByName(spark.createDataFrame([("/EN",)], "path string"))
+    return select.ambiguous_on_the_way(docs.distinct(), levels)
+
+
+@query("select c_custkey, c_mktsegment as name from customer where c_custkey % 5 > 1 qualify row_number() over (partition by c_nationkey, c_mktsegment order by c_custkey) = 1")
+def visible_names(spark, d):
+    k = F.col("c_custkey")
+    name = F.when(k % 5 == 0, F.lit("..")).when(k % 5 == 1, F.lit("a\0b")).otherwise(F.col("c_mktsegment"))
+    return tree.visible(src.table(spark, d, "customer").select("c_custkey", F.lit("1").alias("image"), F.col("c_nationkey").alias("parent"), name.alias("name"), k.alias("ordinal"))).select("c_custkey", "name")
+
+
+@query(f"select image, path, row_number() over (order by string_split(upper(path[2:]), '/'), string_split(path[2:], '/')) as position from ({_DOC})")
+def preorder_positions(spark, d):
+    walked = tree.preorder(_docs(spark, d).select("image", "path")).withColumn("one", F.lit(1).cast("long"))
+    return layout.running_offsets(walked, ["walk"], "one").select("image", "path", (F.col("offset") + 1).alias("position"))
+
+
+@query("select p_partkey, regexp_replace(hex(encode(upper(p_name))), '(..)', '00\\1', 'g') as folded, regexp_replace(hex(encode(p_name)), '(..)', '00\\1', 'g') as exact from part")
+def collation_keys(spark, d):
+    key = fn.collation_key(F.col("p_name"))
+    return src.table(spark, d, "part").select("p_partkey", key["folded"].alias("folded"), key["exact"].alias("exact"))
+
+
+@query("select p_partkey, (p_partkey + 7) // 8 * 8 as aligned, p_size in (4, 8, 16, 32) as chunk_fits, '/' || p_partkey || '/x' as path, replace(replace(p_name, 'a', '&amp;'), 'e', '&lt;') as escaped, replace(replace(p_name, 'a', '&'), 'e', '<') as again, least(p_partkey + (p_partkey * 3) // 100, p_partkey * 3) as report from part")
+def column_functions(spark, d):
+    i, size = F.col("p_partkey"), F.col("p_size")
+    odd = F.replace(F.replace(F.col("p_name"), F.lit("a"), F.lit("&")), F.lit("e"), F.lit("<"))
+    return src.table(spark, d, "part").select(
+        "p_partkey", fn.aligned(i).alias("aligned"), fn.valid_chunk(F.lit("XPRESS"), size * 1024).alias("chunk_fits"), fn.canonical_path(F.concat(i.cast("string"), F.lit("\\\\x//"))).alias("path"),
+        fn.xml_escape(odd).alias("escaped"), fn.xml_unescape(fn.xml_escape(odd)).alias("again"), fn.next_report(i, i * 3).alias("report"),
+    )
+
+
+@query("select c_custkey, case c_custkey % 4 when 0 then c_name when 1 then c_name when 2 then c_name end as path from customer")
+def listed_paths(spark, d):
+    k, name = F.col("c_custkey") % 4, F.col("c_name")
+    line = F.when(k == 0, F.concat(F.lit("  "), name, F.lit("\t"))).when(k == 1, F.concat(F.lit(' "'), name, F.lit('" '))).when(k == 2, F.concat(F.lit("'"), name, F.lit("'"))).otherwise(F.concat(F.lit("; "), name))
+    return src.table(spark, d, "customer").select("c_custkey", files.listed_path(line).alias("path"))
+
+
+@query("select doc_id, coalesce(text, '') as text from documents")
+def decoded_texts(spark, d):
+    k, text = F.col("doc_id") % 4, F.coalesce("text", F.lit(""))
+    marked = lambda mark, coding: F.concat(F.unhex(F.lit(mark)), F.encode(text, coding))
+    content = F.when(k == 0, marked("FFFE", "UTF-16LE")).when(k == 1, marked("FEFF", "UTF-16BE")).when(k == 2, marked("EFBBBF", "UTF-8")).otherwise(F.encode(text, "UTF-8"))
+    return src.table(spark, d, "documents").select("doc_id", files.decoded_text(content).alias("text"))
+
+
+@query(f"select path, hash, size, case when inode % 4 <> 1 then hash end as hash_now, case when inode % 4 <> 1 then size + 1 end as size_now from ({_DOC}) where inode % 4 < 2")
+def concurrent_changes(spark, d):
+    docs, i = _docs(spark, d), F.col("inode")
+    now = docs.where(i % 4 != 1).select("path", "hash", (F.col("size") + F.when(i % 4 == 0, 1).otherwise(0)).alias("size"))
+    return verify.concurrent_changes(docs, now)
+
+
+@query(f"select hash, part, \"offset\", (sum(size) over (order by part, \"offset\" rows unbounded preceding) - size)::bigint as written from (select hash, size, first % 3 as part, first * 7 % 1009 * 1000 + first as \"offset\" from {_BLOB})")
+def physical_order(spark, d):
+    b = _blobs(spark, d).select("hash", "size", (F.col("first") % 3).alias("part"), (F.col("first") * 7 % 1009 * 1000 + F.col("first")).alias("place"))
+    return layout.running_offsets(b, ["part", "place"]).select("hash", "part", F.col("place").alias("offset"), F.col("offset").alias("written"))

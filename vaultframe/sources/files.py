@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,28 +38,51 @@ def listed_path(line: Column) -> Column:
     return F.when((bare != "") & ~bare.rlike("^[#;]"), F.regexp_replace(bare, "\x00.*$", ""))
 
 
+#: A rule: quotes around all of it, a drive before a separator and what follows a NUL do not count.
+_RULE = re.compile(r"""(?P<quote>["']?)(?:.:(?=[/\\]))?(?P<rule>[^\0]*?)(?:\0.*)?(?P=quote)""")
+
+
 def exclusion_rules(text: str) -> tuple[list[str], list[str]]:
-    """(exclusions, exceptions) of a configuration text; it is small and parsed where the plan is made."""
-    rules: dict[str, list[str]] = {"exclusionlist": [], "exclusionexception": []}
-    section = None
-    for line in map(str.strip, text.split("\n")):
-        if not line or line[0] in "#;":
-            continue
-        if line[0] == "[":
-            if "]" not in line:
-                raise ArchiveError("invalid_capture_config", line)
-            section = rules.get(line[1 : line.index("]")].lower())
-        elif section is not None:
-            rule = re.sub(r"^(['\"])(.*)\1$", r"\2", line).split("\0")[0]
-            if drive := re.match(r"^.:(.?)", rule):
-                if drive[1] not in ("/", "\\"):
-                    raise ArchiveError("invalid_capture_config", line)
-                rule = rule[2:]
-            rule = re.sub(r"[/\\]+", "/", rule)
-            if "/" in rule and not rule.startswith("/"):
-                raise ArchiveError("invalid_capture_config", line)
-            section.append(rule)
-    return rules["exclusionlist"], rules["exclusionexception"]
+    """(exclusions, exceptions) of a configuration text; it is small and parsed where the plan is made.
+
+    Sections of other names are passed over. A section without its bracket, a drive without a separator and a relative
+    path of several components are refused.
+    """
+    head, *rest = re.split(r"(?m)^[^\S\n]*\[([^\]\n]*)\].*$", text)
+    sections = list(zip(map(str.lower, rest[::2]), rest[1::2], strict=True))
+    if open_ := re.search(r"(?m)^[^\S\n]*\[.*$", "\n".join([head, *rest[1::2]])):
+        raise ArchiveError("invalid_capture_config", open_[0])
+    return tuple([rule for name, body in sections if name == wanted for rule in _rules(body)] for wanted in ("exclusionlist", "exclusionexception"))
+
+
+def _rules(body: str) -> list[str]:
+    lines = re.findall(r"(?m)^[^\S\n]*([^\s#;](?:[^\n]*\S)?)", body)
+    rules = [re.sub(r"[/\\]+", "/", _RULE.fullmatch(line)["rule"]) for line in lines]
+    if bad := [rule for rule in rules if re.match(".:|[^/]+/", rule)]:
+        raise ArchiveError("invalid_capture_config", bad[0])
+    return rules
+
+
+def decoded_text(content: Column) -> Column:
+    """Text of a file's bytes: UTF-16 in the order that its mark names, else UTF-8 with or without a mark."""
+    mark = lambda n: F.hex(F.substring(content, 1, n))
+    return (
+        F.when(mark(2) == "FFFE", F.decode(F.substring(content, 3, 1 << 30), "UTF-16LE"))
+        .when(mark(2) == "FEFF", F.decode(F.substring(content, 3, 1 << 30), "UTF-16BE"))
+        .when(mark(3) == "EFBBBF", F.decode(F.substring(content, 4, 1 << 30), "UTF-8")).otherwise(F.decode(content, "UTF-8"))
+    )
+
+
+def referenced_tables(spark: SparkSession, glob: str, need_match: bool = False) -> DataFrame:
+    """Blob rows (hash, size) of the parquet files that a glob names, to be passed to blobs.referenced_from."""
+    try:
+        return spark.read.parquet(glob).select("hash", "size")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        if need_match:
+            raise ArchiveError("glob_had_no_matches", glob) from e
+        return spark.createDataFrame([], "hash string, size long")
 
 
 #: Fixed layout of a lookup record: field, first byte, bytes. A header's fields are laid out likewise.
@@ -76,10 +100,45 @@ def little_endian(data: Column, start: Column | int, size: int) -> Column:
     return F.conv(digits, 16, -10).cast("long")
 
 
+#: Fixed values of a header: its length, the first bytes of seekable and sequential archives, known versions.
+HEADER, SEEKABLE, SEQUENTIAL = 208, "4D5357494D000000", "574C50574D000000"
+VERSIONS = (0x10D00, 0xE00)
+
+
 def header_rows(files: DataFrame) -> DataFrame:
-    """Header fields of archives read as binaryFile rows (path, content)."""
-    c = F.col("content")
-    return files.select("path", *[little_endian(c, at, n).alias(f) for f, at, n in HEADER_FIELDS], F.hex(F.substring(c, 25, 16)).alias("guid"))
+    """Header fields of archives read as binaryFile rows (path, content).
+
+    The header is at the beginning; a sequential archive repeats it at the end, complete there. fault names what makes
+    a header unusable: a strange beginning, length or version, a part number beyond the parts, else null.
+    """
+    head = F.hex(F.substring("content", 1, 8))
+    h = files.select(
+        "path", head.alias("magic"), F.when(head == SEQUENTIAL, F.substring(F.col("content"), F.greatest(F.length("content") - HEADER + 1, F.lit(1)), F.lit(HEADER))).otherwise(F.substring("content", 1, HEADER)).alias("h")
+    )
+    c = F.col("h")
+    h = h.select("path", "magic", *[little_endian(c, at, n).alias(f) for f, at, n in HEADER_FIELDS], F.hex(F.substring(c, 25, 16)).alias("guid"))
+    fault = (
+        F.when(~F.col("magic").isin(SEEKABLE, SEQUENTIAL), "not_an_archive").when(F.coalesce(F.col("header_size") != HEADER, F.lit(True)), "invalid_header")
+        .when(~F.col("version").isin(*VERSIONS), "unknown_version").when((F.col("part_number") < 1) | (F.col("part_number") > F.col("total_parts")), "invalid_part_number")
+    )
+    return h.withColumn("fault", fault)
+
+
+def encoded_header(rows: DataFrame, sequential: Column | None = None) -> Column:
+    """The 208 bytes of a header row with the columns of header_rows; fields that it does not have are zero."""
+    magic = F.when(F.coalesce(sequential, F.lit(False)), SEQUENTIAL).otherwise(SEEKABLE) if sequential is not None else F.lit(SEEKABLE)
+    at, parts = 8, [magic]
+    fields = {start: (_reversed_hex(F.col(f), n), n) for f, start, n in HEADER_FIELDS} | {24: (F.col("guid"), 16)}
+    for start in sorted(fields):
+        digits, n = fields[start]
+        parts += [F.lit("00" * (start - at)), digits]
+        at = start + n
+    return F.unhex(F.concat(*parts, F.lit("00" * (HEADER - at))))
+
+
+def _reversed_hex(number: Column, size: int) -> Column:
+    digits = F.lpad(F.hex(number.cast("long")), 2 * size, "0")
+    return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))])
 
 
 def lookup_rows(tables: DataFrame) -> DataFrame:
@@ -94,10 +153,5 @@ def lookup_rows(tables: DataFrame) -> DataFrame:
 
 def encoded_lookup(rows: DataFrame) -> Column:
     """The 50 bytes of a lookup row with the columns of lookup_rows."""
-
-    def bytes_of(name: str, size: int) -> Column:
-        digits = F.lpad(F.hex(F.col(name).cast("long")), 2 * size, "0")
-        return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))])
-
-    fields = [bytes_of(f, n) for f, _, n in LOOKUP_FIELDS]
+    fields = [_reversed_hex(F.col(f), n) for f, _, n in LOOKUP_FIELDS]
     return F.unhex(F.concat(*fields, F.coalesce(rows["hash"], F.lit("0" * 40))))

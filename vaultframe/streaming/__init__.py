@@ -32,6 +32,15 @@ def progress(stream: DataFrame, delay: str = "1 hour", window: str = "1 minute")
     )
 
 
+def parts_seen(stream: DataFrame) -> DataFrame:
+    """Per part: contents and bytes so far, its first and last place, and whether its boundary frame has come. One state row per part."""
+    blob = F.col("kind") == "blob"
+    return stream.groupBy("part").agg(
+        F.sum(F.when(blob, 1).otherwise(0)).alias("contents"), F.coalesce(F.sum(F.when(blob, F.length("bytes"))), F.lit(0)).cast("long").alias("bytes"),
+        F.min("seq").alias("first"), F.max("seq").alias("last"), F.max(F.col("kind") == "part").alias("begun"),
+    )
+
+
 def outstanding(wanted: DataFrame, done: DataFrame) -> DataFrame:
     """Wanted contents that have not come: empty when the extraction is complete."""
     return wanted.select("hash").distinct().join(done.select("hash"), "hash", "left_anti")
