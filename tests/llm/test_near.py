@@ -9,6 +9,7 @@ from helpers import documents, key_of, none_of, prose
 from pyspark.sql import functions as F
 
 from vaultframe.llm import near_text, near_vectors
+from vaultframe.llm.common import components, extended, settle
 
 
 def shingle_weights(text):
@@ -72,6 +73,39 @@ def test_weights_decide(spark):
     assert got == {i: want[i, t] for i, t in rows} == {0: 0, 1: 1, 2: 1}
 
 
+def test_components_of_chains_stars_and_further_edges(spark):
+    """A chain, a star, chance edges, repeats and loops; then edges that join components, new nodes, and nothing new."""
+    r = random.Random(4)
+    first = [(i, i + 1) for i in range(100, 130)] + [(200, i) for i in range(201, 260)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)] + [(5, 5), (101, 100)]
+    more = [(115, 230), (259, 90), (120, 110), (500, 501), (501, 320), (230, 115)]
+    frame = lambda e: spark.createDataFrame(e, "u long, v long")
+
+    def least(edges):
+        up = {x: x for e in edges if e[0] != e[1] for x in e}
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in edges:
+            if a != b:
+                a, b = sorted((find(a), find(b)))
+                up[b] = a
+        return {x: find(x) for x in up}
+
+    def rows(df):
+        out = [tuple(x) for x in df.select("id", "component").collect()]
+        assert len(out) == len(dict(out))
+        return dict(out)
+
+    comps = settle(components(frame(first)))
+    assert rows(comps) == least(first)
+    assert rows(extended(comps, frame(more))) == least(first + more)
+    assert rows(extended(comps, frame([(101, 100)]))) == least(first)
+    assert rows(components(frame([]))) == {}
+
+
 def test_no_documents(spark):
     docs, _ = documents(spark)
     assert near_text.near_duplicates(none_of(docs)).count() == 0 and near_text.one_of_each(none_of(docs)).count() == 0

@@ -75,30 +75,48 @@ def named(df: DataFrame, docs: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (u, v): one row (id, component) per node, component being its smallest id.
 
-    Alternating large-star and small-star steps, each round one job with one checkpoint. The least neighbour of each
-    node is a map-side minimum and is dealt anew before the edges meet it, so that both sides of the join are plain
-    shuffles and Spark can split the edges of a node with very many neighbours between tasks.
+    Alternating large-star and small-star steps, each round one job with one checkpoint, until all edges lead straight
+    to a centre. The least neighbour of each node is a map-side minimum and is dealt anew before the edges meet it, so
+    that both sides of the join are plain shuffles and Spark can split the edges of a node with very many neighbours
+    between tasks.
     """
     e = settle(
         edges.where("u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    state = _mark(e)
+    done = _stars(e)
     for _ in range(rounds):
-        e = settle(_small_star(_large_star(e)))
-        now = _mark(e)
-        if now == state:
+        if done:
             break
-        state = now
-    else:
+        e = settle(_small_star(_large_star(e)))
+        done = _stars(e)
+    if not done:
         raise RuntimeError("components did not settle")
     nodes = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return nodes.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _mark(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def extended(comps: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (id, component) after further edges (u, v): only what the edges join is worked out anew.
+
+    Edges are carried over to the least ids of the components at their ends, so what was joined before is not followed
+    again; nodes that no component holds stand for themselves. comps is settled.
+    """
+    end = lambda n: comps.select(F.col("id").alias(n), F.col("component").alias(f"c{n}"))
+    moved = edges.join(end("u"), "u", "left").join(end("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    more = settle(components(moved))
+    now = small(more.select(F.col("id").alias("component"), F.col("component").alias("now")))
+    old = comps.join(now, "component", "left").select("id", F.coalesce("now", "component").alias("component"))
+    return old.unionByName(more.join(comps.select("id"), "id", "left_anti"))
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether each edge (u, v) is the only one of its u and no v is a u: then v is the component of u."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not ends.where("up > 1 or (up > 0 and down > 0)").agg(F.count("*")).first()[0]
 
 
 def _least(e: DataFrame) -> DataFrame:

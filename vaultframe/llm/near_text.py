@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultframe.llm import arrays as A
-from vaultframe.llm.common import components, named, numbered, read, row_key, settle, small
+from vaultframe.llm.common import components, extended, named, numbered, read, row_key, settle, small
 
 WORDS, THRESHOLD = 5, 0.8
 #: Bands and coordinates in a band: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**5)**26 > 0.9999.
@@ -214,12 +214,16 @@ def _linked(member: DataFrame, sets: DataFrame, threshold: float, leaders: int)
         new = settle(_similar(settle(pairs.distinct()), sets, threshold))
         idle = idle + 1 if new.isEmpty() else 0
         if not idle:
-            found = settle(found.unionByName(new))
-            comps = settle(components(found))
+            found = found.unionByName(new)
+            comps = settle(_joined(comps, new))
     left = settle(_mixed(left, comps))
     pairs = _prefix_pairs(left, sets, threshold)
     new = settle(_similar(settle(pairs), sets, threshold))
-    return comps if new.isEmpty() else settle(components(found.unionByName(new)))
+    return comps if new.isEmpty() else settle(_joined(comps, new))
+
+
+def _joined(comps: DataFrame | None, edges: DataFrame) -> DataFrame:
+    return components(edges) if comps is None else extended(comps, edges)
 
 
 def _prefix_pairs(left: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
