@@ -231,19 +231,23 @@ def _prefix_pairs(left: DataFrame, sets: DataFrame, threshold: float) -> DataFra
 
     Sets of sizes m and n that reach the threshold share at least a = threshold / (1 + threshold) * (m + n) shingles, so
     they share one of the n - a + 1 rarest of each. With m the least size that a member's buckets offer, a heavily
-    edited copy has only its own shingles in that prefix, and meets nothing.
+    edited copy has only its own shingles in that prefix, and meets nothing. A pair counts where what is left of both from
+    the shared shingle on can still hold a: at the first shingle that two similar sets share it always does.
     """
     part = threshold / (1 + threshold)
     sizes = left.groupBy("key").agg(F.collect_set("n").alias("sizes"))
     least = F.array_min(F.filter("sizes", lambda m: m >= F.lit(threshold - 1e-9) * F.col("n")))
     nodes = left.join(sizes, "key").groupBy("node", "n", "c").agg(F.min(least).alias("m"))
-    each = settle(sets.join(nodes, "node").select("node", "n", "c", "m", F.explode("own").alias("s")))
+    held = settle(sets.join(nodes, "node").select("node", "n", "c", "m", "own"))
+    each = held.select("node", F.explode("own").alias("s"))
     several = each.groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
-    rare = each.join(several, "s").groupBy("node", "n", "c", "m").agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("rare"))
-    length = F.col("n") - F.ceil(F.lit(part) * (F.col("n") + F.col("m")) - 1e-9) + 1 - (F.col("n") - F.size("rare"))
-    post = settle(rare.where(length > 0).select("node", "n", "c", F.explode(F.slice("rare", 1, length.cast("int"))).alias("r")).select("node", "n", "c", "r.s"))
-    other = post.select("s", F.col("node").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"))
-    fit = F.least("n", "nv") >= F.lit(threshold - 1e-9) * F.greatest("n", "nv")
+    rare = each.join(several, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("rare")).join(held.drop("own"), "node")
+    alone = F.col("n") - F.size("rare")
+    length = F.col("n") - F.ceil(F.lit(part) * (F.col("n") + F.col("m")) - 1e-9) + 1 - alone
+    post = rare.where(length > 0).select("node", "n", "c", alone.alias("alone"), F.posexplode(F.slice("rare", 1, length.cast("int"))).alias("i", "r"))
+    post = settle(post.select("node", "n", "c", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), "r.s"))
+    other = post.select("s", F.col("node").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("rest").alias("restv"))
+    fit = F.least("rest", "restv") >= F.lit(part) * (F.col("n") + F.col("nv")) - 1e-9
     return post.join(other, "s").where((F.col("node") > F.col("v")) & (F.col("c") != F.col("cv")) & fit).select(F.col("node").alias("u"), "v").distinct()
 
 
