@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultframe.errors import ArchiveError
 from vaultframe.functions import exclusion_pattern, glob_pattern
 
+#: Roots of a selection that may be broadcast; levels of the tree beyond them are joined by a shuffle.
+BROAD = 10_000
+
 
 def resolved_images(selectors: DataFrame, images: DataFrame) -> DataFrame:
     """selector and image_id: 0 is none, -1 all. selectors(selector), images(image_id, image) from 1.
@@ -72,25 +75,38 @@ def glob_matches(entries: DataFrame, globs: list[str], ignore_case: bool = False
 
 
 def normalised_selection(paths: DataFrame, roots: DataFrame, ancestors: bool = True) -> DataFrame:
-    """Paths selected by roots(path): roots below others drop out, descendants come along, and the directories above unless not wanted.
+    """Paths selected by roots(path): each root that is there, all below it, and the directories above it unless not wanted.
 
     A path is joined with the roots by its own prefixes, an equi-join: the work grows with the depth of paths, not with paths times roots.
+    Directories near the top lie above most paths, so the levels that hold few roots (BROAD at most) are broadcast and their
+    prefixes are never dealt out; the others are, against roots that are a plain shuffle, so that Spark can split the paths of a root.
+    A root below another one adds nothing to what that one selects.
     """
-    up = lambda p: F.when(p == "/", F.array(F.lit("/"))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(F.split(p, "/")) - 1), lambda i: F.when(i == 0, F.lit("/")).otherwise(F.array_join(F.slice(F.split(p, "/"), 1, i + 1), "/")))
-    )
     own = roots.select("path").distinct()
-    tops = own.join(
-        own.select(F.col("path").alias("inner"), F.explode(F.filter(up(F.col("path")), lambda x: x != F.col("path"))).alias("path")).join(own, "path", "left_semi").select(F.col("inner").alias("path")),
-        "path", "left_anti",
+    level = F.when(F.col("path") == "/", 0).otherwise(F.size(F.split("path", "/")) - 1)
+    held = own.groupBy(level.alias("level")).agg(F.count("*").alias("n")).withColumn("so_far", F.sum("n").over(Window.orderBy("level")))
+    broad = F.broadcast(held.where(F.col("so_far") <= BROAD).agg(F.coalesce(F.max("level"), F.lit(-1)).alias("broad")))
+
+    few = own.crossJoin(broad).where(level <= F.col("broad")).select(F.col("path").alias("root"))
+    many = own.crossJoin(broad).where(level > F.col("broad")).select(F.col("path").alias("root")).hint("rebalance")
+    placed, way, n = paths.crossJoin(broad), _upward(F.col("path")), F.col("broad") + 1
+    below = (
+        placed.select("path", F.explode(F.slice(way, F.lit(1), n)).alias("root")).join(F.broadcast(few), "root", "left_semi").select("path")
+        .unionByName(placed.select("path", F.explode(F.slice(way, n + 1, F.size(F.split("path", "/")))).alias("root")).join(many, "root", "left_semi").select("path"))
     )
-    below = paths.select("path", F.explode(up(F.col("path"))).alias("root")).join(tops.withColumnRenamed("path", "root"), "root", "left_semi").select("path")
     if not ancestors:
         return below.distinct()
-    above = tops.select(F.explode(up(F.col("path"))).alias("path")).join(paths, "path", "left_semi")
+    above = own.select(F.explode(F.filter(_upward(F.col("path")), lambda x: x != F.col("path"))).alias("path")).distinct().join(paths, "path", "left_semi")
     return below.unionByName(above).distinct()
 
 
+def _upward(p: Column) -> Column:
+    """The directories on the way to a path, the root first and the path itself last."""
+    steps = F.split(p, "/")
+    way = F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda i: F.when(i == 0, F.lit("/")).otherwise(F.array_join(F.slice(steps, 1, i + 1), "/")))
+    return F.when(p == "/", F.array(F.lit("/"))).otherwise(way)
+
+
 def excluded(path: Column, exclusions: list[str], exceptions: list[str], ignore_case: bool = False) -> Column:
     """Whether the path or a directory above it matches an exclusion and no exception (a scan does not enter an excluded directory)."""
     steps = F.split(path, "/")

@@ -261,8 +261,9 @@ def glob_match(spark, d):
 
 @query(f"with e as (select distinct path from ({_LINE}) union select '/5-LOW' union select '/1-URGENT'), r as (select distinct path from e where path like '%/1') select distinct path from e where path in (select path from r) or path like '/5-LOW/%' or path in ('/5-LOW') or exists(select 1 from r where starts_with(r.path, e.path || '/'))")
 def selection(spark, d):
-    paths = _lines(spark, d).select("path").unionByName(spark.createDataFrame([("/5-LOW",), ("/1-URGENT",)], "path string")).distinct()
-    roots = paths.where(F.col("path").like("%/1")).unionByName(spark.createDataFrame([("/5-LOW",)], "path string"))
+    fixed = lambda *names: spark.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("path"))
+    paths = _lines(spark, d).select("path").unionByName(fixed("/5-LOW", "/1-URGENT")).distinct()
+    roots = paths.where(F.col("path").like("%/1")).unionByName(fixed("/5-LOW"))
     return select.normalised_selection(paths, roots)
 
 
