@@ -6,8 +6,8 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from vaultframe import queries
 from vaultframe.operators import select
+from vaultframe.queries import QUERIES
 
 
 @contextmanager
@@ -54,3 +54,9 @@ def test_selection_deals_out_no_directory_above_most_paths(spark, monkeypatch, b
     assert sorted(r["path"] for r in rows) == sorted(["/", "/d", "/d/9/x", *[f"/d/{i}/x" for i in range(0, 4000, 2)]])
     if broad > 1:
         assert most < 2000
+
+
+def test_canonical_counts_sorts_no_walk_and_reads_lines_once_for_streams(spark):
+    plan = QUERIES["canonical_counts"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if "transform(" in line and "Aggregate" not in line]
+    assert sum("l_linenumber" in line and "Relation" in line for line in plan) <= 3

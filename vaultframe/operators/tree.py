@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultframe.functions import base_name, collation_key, depth, parent_path, within
@@ -42,8 +42,9 @@ def canonical_counts(entries: DataFrame, streams: DataFrame) -> DataFrame:
     """
     grouped = (F.col("group_id") != 0) & ~F.col("is_dir")
     single = entries.where(~grouped).select("image", "node", F.lit(1).cast("long").alias("names"))
-    walk = preorder(entries.where(grouped).select("image", "path", "node", "group_id", "hash"))
-    linked = walk.groupBy("image", "group_id", "hash").agg(F.min_by("node", "walk").alias("node"), F.count("*").alias("names")).select("image", "node", "names")
+    # The key of the walk is made inside the aggregation: many times as long as its path, it is not to be sorted along with each entry.
+    first = F.min_by("node", walk_key(F.col("path"))).alias("node")
+    linked = entries.where(grouped).groupBy("image", "group_id", "hash").agg(first, F.count("*").alias("names")).select("image", "node", "names")
     held = streams.where("hash is not null").select("image", "node", "hash")
     return single.unionByName(linked).join(held, ["image", "node"]).groupBy("hash").agg(F.sum("names").alias("refs"))
 
@@ -53,10 +54,14 @@ def with_descriptors(entries: DataFrame, descriptors: DataFrame) -> DataFrame:
     return entries.join(descriptors.select("image", "sd_id", F.col("bytes").alias("descriptor")), ["image", "sd_id"], "left")
 
 
+def walk_key(path: Column) -> Column:
+    """Sort key of a depth-first walk whose siblings are in collation order (upper case, then as they are)."""
+    return F.transform(F.split(F.trim(path, F.lit("/")), "/"), collation_key)
+
+
 def preorder(entries: DataFrame) -> DataFrame:
-    """Entries with the sort key of a depth-first walk whose siblings are in collation order (upper case, then as they are)."""
-    steps = F.split(F.trim(F.col("path"), F.lit("/")), "/")
-    return entries.withColumn("walk", F.transform(steps, collation_key))
+    """Entries with their key of the walk."""
+    return entries.withColumn("walk", walk_key(F.col("path")))
 
 
 def visible(entries: DataFrame) -> DataFrame:

@@ -485,8 +485,8 @@ def canonical_counts(spark, d):
         F.col("o_orderstatus").alias("image"), F.concat_ws("/", F.lit(""), "o_orderpriority", F.col("o_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("path"),
         (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("node"), (k % 40).alias("group_id"), F.sha1(F.col("l_quantity").cast("long").cast("string").cast("binary")).alias("hash"), (F.col("l_linenumber") == 7).alias("is_dir"),
     )
-    named = e.where("node % 2 = 0").select("image", "node", F.sha1(F.concat(F.lit("named"), (F.col("node") % 5).cast("string")).cast("binary")).alias("hash"))
-    return tree.canonical_counts(e, e.select("image", "node", "hash").unionByName(named))
+    named = F.when(F.col("node") % 2 == 0, F.sha1(F.concat(F.lit("named"), (F.col("node") % 5).cast("string")).cast("binary")))
+    return tree.canonical_counts(e, e.select("image", "node", F.explode(F.array("hash", named)).alias("hash")))
 
 
 _RECORD = "select doc_id as row, case when doc_id % 17 = 5 then null else sha1(coalesce(text, '')) end as hash, case when doc_id % 20 in (0, 3) then 4294967296 when doc_id % 13 = 2 then 0 else octet_length(encode(coalesce(text, '')))::bigint end as size, case when doc_id % 20 < 6 then 16 when doc_id % 50 = 19 then 2 else 0 end::bigint as flags, 1 + (doc_id % 30 = 29)::bigint as part, (doc_id % 20 - 1) * 450 as \"offset\" from documents"
