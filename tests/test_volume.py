@@ -6,7 +6,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from vaultframe.operators import select
+from vaultframe.operators import select, tree
 from vaultframe.queries import QUERIES
 
 
@@ -60,3 +60,16 @@ def test_canonical_counts_sorts_no_walk_and_reads_lines_once_for_streams(spark):
     plan = QUERIES["canonical_counts"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not [line for line in plan if "transform(" in line and "Aggregate" not in line]
     assert sum("l_linenumber" in line and "Relation" in line for line in plan) <= 3
+
+
+def test_dir_entries_shuffles_hashes_in_half_their_length(spark):
+    e = spark.range(0, 20_000, 1, 4).select(
+        F.lit("1").alias("image"), F.concat(F.lit("/"), F.col("id").cast("string")).alias("path"), F.col("id").alias("inode"),
+        F.when(F.col("id") == 1, "Ab").when(F.col("id") == 2, "abc").when(F.col("id") == 3, "").when(F.col("id") != 4, F.sha1(F.col("id").cast("string").cast("binary"))).alias("hash"), F.lit(1).cast("long").alias("size"),
+    )
+    blobs = e.where("inode <> 7").select("hash", "size")
+    with settings(spark, adaptive="false", broadcast="-1"):
+        rows, _, written = traffic(spark, tree.dir_entries(e, blobs), "dir_entries")
+    assert len(rows) == 20_000 and [r["path"] for r in rows if r["missing"]] == ["/7"]
+    assert {r["path"]: r["hash"] for r in rows} == {r["path"]: r["hash"] for r in e.collect()}
+    assert written < 2_400_000

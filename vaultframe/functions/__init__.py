@@ -20,6 +20,18 @@ def content_hash(text: Column) -> Column:
     return F.sha1(F.encode(text, "UTF-8"))
 
 
+def digest_bytes(hash: Column) -> Column:
+    """A hash as it travels through shuffles: lower-case hexadecimal text in half its length, any other text as it is; equal only for equal texts."""
+    raw = F.unhex(hash)
+    return F.when(F.lower(F.hex(raw)) == hash, F.concat(F.unhex(F.lit("01")), raw)).otherwise(F.concat(F.unhex(F.lit("00")), hash.cast("binary")))
+
+
+def digest_text(digest: Column) -> Column:
+    """The hash that digest_bytes was given."""
+    rest = F.substring(digest, 2, 1 << 30)
+    return F.when(F.substring(digest, 1, 1) == F.unhex(F.lit("01")), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
 def content_size(text: Column) -> Column:
     return F.octet_length(text).cast("long")
 

@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vaultframe.functions import base_name, collation_key, depth, parent_path, within
+from vaultframe.functions import base_name, collation_key, depth, digest_bytes, digest_text, parent_path, within
 
 
 def dir_entries(entries: DataFrame, blobs: DataFrame) -> DataFrame:
-    """A listing row per entry: where it is, how many names its inode has, its content and whether that is missing."""
+    """A listing row per entry: where it is, how many names its inode has, its content and whether that is missing.
+
+    Hashes are most of what is shuffled here, so they are shuffled as bytes. Several rows of blobs may hold one hash; those without a size count as missing.
+    """
     links = entries.groupBy("image", "inode").agg(F.count("*").alias("links"))
-    return entries.join(links, ["image", "inode"]).join(blobs.select("hash", F.col("size").alias("stored")), "hash", "left").select(
+    held = blobs.where("size is not null").select(digest_bytes(F.col("hash")).alias("digest")).distinct().withColumn("held", F.lit(True))
+    placed = entries.select("image", "path", "inode", "size", digest_bytes(F.col("hash")).alias("digest"))
+    return placed.join(links, ["image", "inode"]).join(held, "digest", "left").select(
         "image", "path", base_name(F.col("path")).alias("name"), parent_path(F.col("path")).alias("parent"), depth(F.col("path")).alias("depth"),
-        "links", "hash", "size", (F.col("hash").isNotNull() & F.col("stored").isNull()).alias("missing"),
+        "links", digest_text(F.col("digest")).alias("hash"), "size", (F.col("digest").isNotNull() & F.col("held").isNull()).alias("missing"),
     )
 
 

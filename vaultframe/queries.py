@@ -185,7 +185,7 @@ def descriptor_remap(spark, d):
 )
 def dir_entries(spark, d):
     e = _lines(spark, d)
-    return tree.dir_entries(e, e.where(F.col("inode") % 7 != 0).groupBy("hash").agg(F.max("size").alias("size")))
+    return tree.dir_entries(e, e.where(F.col("inode") % 7 != 0).select("hash", "size"))
 
 
 @query(f"select image, path from (select distinct image, unnest([ '/', '/' || split_part(path, '/', 2)]) as path from ({_DOC}))")
