@@ -91,6 +91,59 @@ def test_refinement_sorts(kind):
         assert seen == sorted(seen)
 
 
+def test_rows_alike_in_hash_differ():
+    weight = [int(x) for x in arrays.mix(np.arange(1, 4, dtype=np.uint64)) | np.uint64(1)]
+    step = 3 * weight[1] * pow(weight[0], -1, 1 << 64)
+    rows = np.array([[5 + step & (1 << 64) - 1, 6, 7], [5, 9, 7], [5, 9, 7], [5 + step & (1 << 64) - 1, 6, 7], [5, 9, 7]], np.uint64)
+    group = np.zeros(5, np.int64)
+    assert len(set((rows * np.array(weight, np.uint64)).sum(axis=1).tolist())) == 1
+    assert byte_repeats._alike(rows, group).tolist() == [0, 1, 2, 0, 4]
+    seen = [tuple(rows[k]) for k in byte_repeats.refined_order(rows, group)]
+    assert seen == sorted(seen)
+
+
+def test_equal_rows_are_refined_once(monkeypatch):
+    rows = np.repeat(np.random.default_rng(3).integers(0, 2, (7, 400)).astype(np.uint8), 300, axis=0)
+    rows[:, :350] = 1
+    given, parted = [], byte_repeats._parted
+    monkeypatch.setattr(byte_repeats, "_parted", lambda bucket, members, key: given.append(len(members)) or parted(bucket, members, key))
+    order = byte_repeats.refined_order(rows, np.zeros(len(rows), np.int64))
+    seen = [rows[k].tobytes() for k in order]
+    assert seen == sorted(seen) and max(given) == 7
+
+
+def test_a_text_is_scanned_once(spark, tmp_path, monkeypatch):
+    r, log, anchors = random.Random(6), str(tmp_path / "scanned"), repeats.anchors
+    rows = [(i, prose(r, 120)) for i in range(12)] + [(i, prose(r, 30)) for i in range(12, 15)]
+    docs = spark.createDataFrame(rows + [(i + 20, t) for i, t in rows[:4]], "doc_id long, text string")
+
+    def logged(code, offsets, kind):
+        with open(log, "a") as f:
+            f.write(f"{len(offsets) - 1}\n")
+        return anchors(code, offsets, kind)
+
+    monkeypatch.setattr(repeats, "anchors", logged)
+    found = repeats.repeated_spans(repeats.Texts.of(docs), repeats.Kind(400, 64, False, "all"), byte_repeats.refined_order)
+    assert found.count() == 8 and sum(int(x) for x in open(log).read().split()) == len(rows)
+
+
+def test_anchors_of_each_window():
+    r = np.random.default_rng(5)
+    size = np.array([0, 13, 5, 12, 80, 0, 3, 200, 11])
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    code, kind = r.integers(0, 2, offsets[-1]).astype(np.uint8), repeats.Kind(12, 4, False, "all")
+    gram = {k: int(arrays.Rolling(code).of(np.array([k]), np.array([k + 4]))[0]) for k in range(len(code) - 3)}
+    want = {}
+    for row, n in enumerate(size.tolist()):
+        for s in range(n - 11):
+            at = int(offsets[row])
+            place = min(range(s, s + 9), key=lambda k: (gram[at + k] >> 32, k))  # noqa: B023
+            want.setdefault((gram[at + place], row, place), []).append(s)
+    got = [x.tolist() for x in repeats.anchors(code, offsets, kind)]
+    assert list(zip(*got, strict=True)) == [(*k, min(s), max(s)) for k, s in want.items()]
+    assert not len(repeats.anchors(code[:11], np.array([0, 11]), kind)[0])
+
+
 def test_subtrees_cut_at_a_depth():
     rows = np.array([[1, 2, 3], [1, 2, 4], [1, 5, 5], [2, 2, 2], [1, 2, 3]], np.uint64)
     group = np.zeros(5, int)

@@ -19,9 +19,12 @@ _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: each bit of the input reaches each bit of the output."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= _M1
+    x ^= x >> np.uint64(27)
+    x *= _M2
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -81,11 +84,22 @@ class Rolling:
         size = 1 << max(20, (max(1, len(data)) - 1).bit_length())
         self.up, self.down = _powers(size)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=self.sums[1:])
+        term = data.astype(np.uint64)
+        term += np.uint64(1)
+        term *= self.up[: len(data)]
+        np.cumsum(term, out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * _M2)
 
+    def runs(self, size: int) -> np.ndarray:
+        """Hash of each `size` consecutive bytes; as of() gives it."""
+        n = max(0, len(self.sums) - size)
+        x = self.sums[size:] - self.sums[:n]
+        x *= self.down[:n]
+        x += np.array([size], np.uint64) * _M2
+        return mix(x)
+
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end (exclusive) and row of each word [^\\x20\\x09-\\x0D]+; words do not cross rows."""

@@ -44,16 +44,31 @@ def _parted(bucket: np.ndarray, members: np.ndarray, key: np.ndarray) -> np.ndar
     return members[(np.diff(np.append(first, len(members))) > 1)[run]]
 
 
+def _alike(pointer: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each row a row that equals it, group included: the first of those with its hash, or itself if that one differs."""
+    weight = A.mix(np.arange(1, pointer.shape[1] + 1, dtype=np.uint64)) | np.uint64(1)
+    total = A.mix(group.astype(np.int64).view(np.uint64))
+    for k in range(pointer.shape[1]):
+        total += pointer[:, k] * weight[k]
+    first, run = np.unique(total, return_index=True, return_inverse=True)[1:]
+    same = first[run.ravel()]
+    differs = (group != group[same]) | (pointer != pointer[same]).any(axis=1)
+    return np.where(differs, np.arange(len(group)), same)
+
+
 def refined_order(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Order of rows by group and then units, by bucket-pointer refinement."""
+    """Order of rows by group and then units, by bucket-pointer refinement; equal rows share a bucket from the start."""
     if rows.dtype == np.uint8:
         wide = np.zeros((len(rows), -(-rows.shape[1] // RUN) * RUN), np.uint8)
         wide[:, : rows.shape[1]] = rows
         pointer = wide.view(">u8").astype(np.uint64)  # a q-gram is its bucket's identifier
     else:
         pointer = rows
-    bucket = np.zeros(len(rows), np.int64)
-    left = _parted(bucket, np.arange(len(rows)), group)
+    same = _alike(pointer, group)
+    one = np.flatnonzero(same == np.arange(len(rows)))
+    pointer, group = pointer[one], group[one]
+    bucket = np.zeros(len(one), np.int64)
+    left = _parted(bucket, np.arange(len(one)), group)
     left = _parted(bucket, left, pointer[left, 0]) if pointer.shape[1] else left
     pointer, depth = pointer[left], 1
     while len(left) and depth < rows.shape[1]:
@@ -68,7 +83,7 @@ def refined_order(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
         if pointer.shape[1] % 2:
             pointer = np.concatenate([pointer, np.full((len(pointer), 1), -1, np.int64)], axis=1)
         pointer, depth = pointer[:, ::2] << 32 | (pointer[:, 1::2] + 1), 2 * depth
-    return np.argsort(bucket, kind="stable")
+    return np.argsort(bucket[np.searchsorted(one, same)], kind="stable")
 
 
 def _cut(window: int, passage: int, data: np.ndarray, spans: tuple[np.ndarray, np.ndarray], passages: tuple[np.ndarray, np.ndarray]):

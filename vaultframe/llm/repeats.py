@@ -23,6 +23,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ from vaultframe.llm.common import settle, small, text_of
 LAST_ID = (1 << 63) - 1
 #: Bytes around the occurrences in a group of grams; a gram with more of them is grown.
 GROUP_BYTES = 16_000_000
+#: Bytes of text that are searched for anchors at once, so that the arrays made of them stay in a core's cache.
+SCANNED = 1 << 18
 #: End of a span that stands for a whole text.
 WHOLE = 1 << 40
 
@@ -71,13 +74,6 @@ class Kind:
         code = A.Rolling(data).of(start, end)
         return code, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(offsets) - 1))]).astype(np.int64)
 
-    def hashes(self, code: np.ndarray, start: np.ndarray | None, size: int) -> np.ndarray:
-        """Hash of `size` units from each start (None: from every place)."""
-        start = np.arange(max(0, len(code) - size + 1)) if start is None else start
-        if not len(start):
-            return np.zeros(0, np.uint64)
-        return A.Rolling(code).of(start, start + size)
-
 
 def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     """Least of each w consecutive values, from running minima of blocks."""
@@ -94,42 +90,46 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
 def anchors(code: np.ndarray, offsets: np.ndarray, kind: Kind) -> tuple[np.ndarray, ...]:
     """gram, row, place of the anchor, first and last start of its windows (places within the row)."""
     none = (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4)
-    gram = kind.hashes(code, None, kind.gram)
-    key = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=np.uint64)
-    least = sliding_least(key, kind.size - kind.gram + 1)
-    if not len(least):
-        return none
-    size = np.diff(offsets)
-    windows = np.maximum(0, size - kind.size + 1)
-    if not windows.sum():
+    windows = np.maximum(0, np.diff(offsets) - kind.size + 1)
+    held = np.flatnonzero(windows)
+    if not len(held):
         return none
-    row = np.repeat(np.arange(len(size)), windows)
-    start = offsets[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-    place = (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    last = np.append(new[1:], len(place)) - 1
-    row, base = row[new], offsets[row[new]]
-    return gram[place[new]], row, place[new] - base, start[new] - base, start[last] - base
+    gram = A.Rolling(code).runs(kind.gram)
+    key = gram & np.uint64(0xFFFFFFFF00000000)
+    key |= np.arange(len(gram), dtype=np.uint64)
+    least = sliding_least(key, kind.size - kind.gram + 1)
+    # Windows of one anchor follow each other: cut where it changes and where the windows of a row begin and end.
+    begin, stop = offsets[:-1][held], (offsets[:-1] + windows)[held]
+    cuts = np.unique(np.concatenate([np.flatnonzero(least[1:] != least[:-1]) + 1, begin, stop]))
+    first, last = cuts[:-1], cuts[1:] - 1
+    own = np.searchsorted(begin, first, "right") - 1
+    inside = (own >= 0) & (first < stop[own])
+    first, last, own = first[inside], last[inside], own[inside]
+    place, row = (least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64), held[own]
+    base = offsets[row]
+    return gram[place], row, place - base, first - base, last - base
 
 
 def _scan(texts: DataFrame, kind: Kind) -> DataFrame:
-    """g, d, h and p of every anchor: its place, and how far before it its windows begin at most and at least.
+    """d, h, g and p of every text with windows: the grams of its anchors and, as one number each (32, 16 and 15 bits),
+    their places and how far before them their windows begin at most and at least.
 
-    The three numbers are one (32, 16 and 15 bits), since these rows are many.
+    A text's anchors are one row of two plain lists, since they are many.
     """
 
     def per_batch(batches):
         for batch in batches:
             data, offsets = A.column_bytes(batch.column("text"))
             d, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "h"))
-            for a, b in A.slices(offsets):
+            for a, b in A.slices(offsets, SCANNED):
                 g, row, place, s1, s2 = anchors(*kind.units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), kind)
-                for n in range(0, len(g), 50_000):
-                    part = slice(n, n + 50_000)
-                    p = place[part] << 31 | (place - s1)[part] << 15 | (place - s2)[part]
-                    yield pa.record_batch([pa.array(A.signed(g[part])), pa.array(d[a:b][row[part]]), pa.array(h[a:b][row[part]]), pa.array(p)], ["g", "d", "h", "p"])
+                p = place << 31 | (place - s1) << 15 | (place - s2)
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                own, ends = row[first], np.append(first, len(row)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (A.signed(g), p)]
+                yield pa.record_batch([pa.array(d[a:b][own]), pa.array(h[a:b][own]), *lists], ["d", "h", "g", "p"])
 
-    return texts.mapInArrow(A.tidy(per_batch), "g bigint, d bigint, h bigint, p bigint")
+    return texts.mapInArrow(A.tidy(per_batch), "d bigint, h bigint, g array<bigint>, p array<bigint>")
 
 
 def _of_hits(found: DataFrame, kind: Kind, rows_of: Callable, schema: str) -> DataFrame:
@@ -159,13 +159,13 @@ def _surroundings(found: DataFrame, kind: Kind) -> DataFrame:
     right, left = kind.size, kind.size - kind.gram
 
     def rows_of(code, begin, g, d, h, place, s1, s2):
-        base = begin + place
+        padded = np.concatenate([np.zeros(left, code.dtype), code, np.zeros(right, code.dtype)])
+        around = np.empty((len(g), right + left), code.dtype)
+        around[:, :right] = sliding_window_view(padded, right)[left + begin + place]
+        around[:, right:] = sliding_window_view(padded, left)[begin + place][:, ::-1] if left else 0
         # Units beyond the windows of a hit are left out: as zeros they cost little.
-        r = base[:, None] + np.arange(right)
-        r = np.where(r < (begin + s2 + kind.size)[:, None], code[np.minimum(r, len(code) - 1)], 0)
-        l = base[:, None] - 1 - np.arange(left)  # noqa: E741
-        l = np.where(l >= (begin + s1)[:, None], code[np.maximum(l, 0)], 0)  # noqa: E741
-        around = np.ascontiguousarray(np.concatenate([r, l], axis=1).astype(code.dtype))
+        around[:, :right][np.arange(right) >= (s2 + kind.size - place)[:, None]] = 0
+        around[:, right:][np.arange(left) >= (place - s1)[:, None]] = 0
         ends = (np.arange(len(g) + 1) * around.shape[1] * around.itemsize).astype(np.int32)
         packed = pa.Array.from_buffers(pa.binary(), len(g), [None, pa.py_buffer(ends), pa.py_buffer(around)])
         return [pa.array(g), pa.array(d), pa.array(h), *[pa.array(x.astype(np.int32)) for x in (place, s1, s2)], packed]
@@ -335,10 +335,12 @@ def repeated_spans(texts_: Texts, kind: Kind, sort: Callable) -> DataFrame:
     texts = rows.select("d", "h", text_of().alias("text"))
     texts = texts.join(away, same(texts, away), "left_anti")
 
-    places = _scan(texts, kind)
-    several = settle(places.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"))
+    places = settle(_scan(texts, kind))  # read twice, and a scan is dear
+    several = settle(places.select(F.explode("g").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n > 1"))
     number, frequent = several.agg(F.coalesce(F.sum(F.when(F.col("n") <= kind.group, F.col("n"))), F.lit(0)), F.coalesce(F.max("n") > kind.group, F.lit(False))).first()
-    hits = settle(places.join(several, "g").select("g", "d", "h", "p", (F.col("n") > kind.group).alias("frequent")))
+    hits = places.select("d", "h", F.inline(F.arrays_zip("g", "p"))).join(several, "g")
+    hits = settle(hits.select("g", "d", "h", "p", (F.col("n") > kind.group).alias("frequent")))
+    del places, several
 
     def looked_up(part: DataFrame) -> DataFrame:
         """The texts of some hits, with these; only texts that have any are shuffled."""
@@ -361,7 +363,7 @@ def repeated_spans(texts_: Texts, kind: Kind, sort: Callable) -> DataFrame:
     whole = copies.where("later") if kind.marks == "later" else copies
     found = found.unionByName(whole.select("d", "h", F.lit(0).cast("long").alias("start"), F.lit(WHOLE).alias("end")))
     found = found if spans is None else found.unionByName(spans)
-    del places, hits, several
+    del hits
     return settle(found.groupBy("d", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
 
 
